@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestack.sources.shipping import ship  # noqa: F401  for the operators here
+
 _own_dirs: dict[str, str] = {}
-_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -71,23 +70,6 @@ def _clean() -> None:
             return
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, so that tasks can import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    zipped = os.path.join(tempfile.mkdtemp(prefix="lodestack-code-"), "lodestack.zip")
-    with zipfile.ZipFile(zipped, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join(os.path.basename(top), os.path.relpath(full, top)))
-    spark.sparkContext.addPyFile(zipped)
-    _shipped.add(app)
-
-
 def parallelism(spark: SparkSession) -> int:
     """How many parts a shuffle gets where the number has to be named."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
