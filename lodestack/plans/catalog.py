@@ -1,6 +1,296 @@
-"""The registered catalog queries and their SQL."""
+"""The registered catalog queries and their SQL.
+
+Stand-ins: pack = orders, mod = part, bridge = distinct (l_orderkey, l_partkey), category = o_orderpriority, mod type = p_type,
+mod tag = p_brand, description = documents.text, comments = conversations, trend = events. Parameters have
+fixed defaults so that the SQL can repeat them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestack.operators import feedback, refresh, report, search, trend
+from lodestack.sources import pages
+from lodestack.sources.tables import table as t
+from lodestack.streaming import refresh as streaming
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+AS_OF, ORDERS_AS_OF, DAYS = "2024-01-30", "2001-08-01", 7
+TAGS = ["Brand#1", "Brand#2"]
+URGENT = "1-URGENT"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("q01_page_extract")
+def q01(s: SparkSession, d: str) -> DataFrame:
+    return pages.extract(t(s, d, "pages"))
+
+
+@query("q02_stale_items", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAY")
+def q02(s, d):
+    return refresh.stale(t(s, d, "orders"), "o_orderdate", ORDERS_AS_OF, 365).select("o_orderkey", "o_orderpriority")
+
+
+@query("q03_snapshot_upsert", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def q03(s, d):
+    e = t(s, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
+    return refresh.upsert(e.where(F.col("ts") < middle), e.where(F.col("ts") >= middle), "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@query("q04_pack_detail", "SELECT doc_id, text, lang, source FROM documents WHERE doc_id = 42")
+def q04(s, d):
+    return t(s, d, "documents").where("doc_id = 42").select("doc_id", "text", "lang", "source")
+
+
+@query("q05_search_name", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_name), 'small')")
+def q05(s, d):
+    return t(s, d, "part").where(search.matches(F.col("p_name"), "Ring", "small")).select("p_partkey", "p_name")
+
+
+@query("q06_search_description", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'ention')")
+def q06(s, d):
+    return t(s, d, "documents").where(search.matches(F.col("text"), "ention")).select("doc_id", "lang")
+
+
+@query("q07_search_comments", "SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(text), 'the')")
+def q07(s, d):
+    return t(s, d, "conversations").where(search.matches(F.col("text"), "the")).select("conv_id").distinct()
+
+
+@query("q08_search_tags", "SELECT DISTINCT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_brand), 'brand#1')")
+def q08(s, d):
+    return search.packs_with(t(s, d, "lineitem"), t(s, d, "part"), search.matches(F.col("p_brand"), "brand#1"))
+
+
+@query("q09_search_mods", "SELECT DISTINCT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'widget')")
+def q09(s, d):
+    return search.packs_with(t(s, d, "lineitem"), t(s, d, "part"), search.matches(F.col("p_name"), "widget"))
+
+
+@query("q10_search_any_field", """
+WITH hits AS (
+  SELECT o_orderkey AS pack_id, 'category' AS field FROM orders WHERE contains(lower(o_orderpriority), 'medium')
+  UNION SELECT l_orderkey, 'mods' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'medium')
+  UNION SELECT l_orderkey, 'types' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_type), 'medium'))
+SELECT pack_id, string_agg(field, ',' ORDER BY field) AS fields FROM hits GROUP BY pack_id""")
+def q10(s, d):
+    l, p = t(s, d, "lineitem"), t(s, d, "part")
+    category = t(s, d, "orders").where(search.matches(F.col("o_orderpriority"), "medium")).select(F.col("o_orderkey").alias("pack_id"))
+    by = lambda c: search.packs_with(l, p, search.matches(F.col(c), "medium"))
+    return search.any_field({"category": category, "mods": by("p_name"), "types": by("p_type")})
+
+
+@query("q11_filter_category", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def q11(s, d):
+    return t(s, d, "orders").where(F.col("o_orderpriority").isin(URGENT, "2-HIGH")).select("o_orderkey", "o_totalprice")
+
+
+@query("q12_filter_tags_any", "SELECT DISTINCT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#2')")
+def q12(s, d):
+    return search.packs_with(t(s, d, "lineitem"), t(s, d, "part"), F.col("p_brand").isin(TAGS))
+
+
+@query("q12_filter_tags_all", "SELECT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#2') GROUP BY 1 HAVING count(DISTINCT p_brand) = 2")
+def q12_all(s, d):
+    return search.packs_with_all(t(s, d, "lineitem"), t(s, d, "part"), "p_brand", TAGS)
+
+
+@query("q13_filter_mod_type", "SELECT DISTINCT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO'")
+def q13(s, d):
+    return search.packs_with(t(s, d, "lineitem"), t(s, d, "part"), F.col("p_type") == "PROMO")
+
+
+@query("q14_filter_mod_any", "SELECT DISTINCT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey IN (1, 2, 3)")
+def q14(s, d):
+    return search.packs_with(t(s, d, "lineitem"), t(s, d, "part"), F.col("p_partkey").isin(1, 2, 3))
+
+
+@query("q15_filter_mod_all", "SELECT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name IN ('small ring', 'red widget') GROUP BY 1 HAVING count(DISTINCT p_name) = 2")
+def q15(s, d):
+    return search.packs_with_all(t(s, d, "lineitem"), t(s, d, "part"), "p_name", ["small ring", "red widget"])
+
+
+@query("q16_filter_combined", """
+SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01'
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO')
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'ring'))""")
+def q16(s, d):
+    l, p = t(s, d, "lineitem"), t(s, d, "part")
+    o = t(s, d, "orders").where((F.col("o_orderpriority") == URGENT) & (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")))
+    o = o.select("o_orderkey", "o_orderpriority")
+    for condition in (F.col("p_type") == "PROMO", search.matches(F.col("p_name"), "ring")):
+        o = o.join(search.packs_with(l, p, condition).withColumnRenamed("pack_id", "o_orderkey"), "o_orderkey", "left_semi")
+    return o
+
+
+@query("q17_comment_digest", "SELECT conv_id, count(*) AS comments, count(DISTINCT role) AS authors, max(turn) AS latest, sum(length(text)) / count(*) AS mean_length FROM conversations GROUP BY conv_id")
+def q17(s, d):
+    length = F.sum(F.length("text")).cast("double") / F.count("*")
+    return t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("comments"), F.count_distinct("role").alias("authors"), F.max("turn").alias("latest"), length.alias("mean_length"))
+
+
+@query("q17_comments_in_order", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, role, text FROM conversations")
+def q17_ordered(s, d):
+    return t(s, d, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"), "role", "text")
+
+
+@query("q18_reverse_search", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 1)")
+def q18(s, d):
+    packs = t(s, d, "lineitem").where("l_partkey = 1").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t(s, d, "orders").select("o_orderkey", "o_orderpriority").join(packs, "o_orderkey", "left_semi")
+
+
+@query("q19_mod_index", "SELECT p_partkey AS mod_id, p_name, count(DISTINCT l_orderkey) AS packs FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2")
+def q19(s, d):
+    counted = search.bridge(t(s, d, "lineitem")).groupBy("mod_id").agg(F.count("*").alias("packs"))
+    return t(s, d, "part").select(F.col("p_partkey").alias("mod_id"), "p_name").join(counted, "mod_id", "left").withColumn("packs", F.coalesce("packs", F.lit(0).cast("long")))
+
+
+_DAILY = "SELECT user_id, CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1, 2"
+
+
+@query("q20_trend_series", f"""
+WITH d AS ({_DAILY})
+SELECT user_id, day, CAST(v AS DOUBLE) AS value, CAST(lag(v) OVER w AS DOUBLE) AS previous, CAST(sum(v) OVER w AS DOUBLE) AS running
+FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)""")
+def q20(s, d):
+    return trend.series(t(s, d, "events"))
+
+
+@query("q21_trend_leaderboard", f"""
+WITH d AS ({_DAILY}), x AS (
+  SELECT user_id, sum(v) AS now, sum(v) FILTER (day <= DATE '2024-01-23') AS base FROM d WHERE day <= DATE '2024-01-30' GROUP BY 1)
+SELECT user_id, CAST(now AS DOUBLE) AS now, CAST(now - base AS DOUBLE) AS trend FROM x ORDER BY trend DESC NULLS LAST, user_id LIMIT 10""")
+def q21(s, d):
+    return trend.leaderboard(t(s, d, "events"), AS_OF, DAYS, 10)
+
+
+@query("q21_trend_change", f"""
+WITH d AS ({_DAILY}), x AS (
+  SELECT user_id, sum(v) AS now, sum(v) FILTER (day <= DATE '2024-01-23') AS base FROM d WHERE day <= DATE '2024-01-30' GROUP BY 1)
+SELECT user_id, CAST(now AS DOUBLE) AS now, CAST(now - base AS DOUBLE) AS trend FROM x""")
+def q21_change(s, d):
+    return trend.change(t(s, d, "events"), AS_OF, DAYS)
+
+
+_MEASURES = "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type IN ('click', 'signup', 'purchase')) AS activity FROM events GROUP BY 1"
+
+
+def measures(events: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    return events.groupBy("user_id").agg(F.count_if(kind == "view").alias("views"), F.count_if(kind.isin("click", "signup", "purchase")).alias("activity"))
+
+
+@query("q22_composite_rank", f"""
+WITH m AS ({_MEASURES}), s AS (
+  SELECT user_id, CAST(round(CAST(0.6 * coalesce(ln(1 + views) / nullif(max(ln(1 + views)) OVER (), 0), 0) + 0.4 * coalesce(ln(1 + activity) / nullif(max(ln(1 + activity)) OVER (), 0), 0) AS DECIMAL(20,10)), 6) AS DOUBLE) AS score FROM m)
+SELECT user_id, score, row_number() OVER (ORDER BY score DESC, user_id) AS position FROM s""")
+def q22(s, d):
+    return trend.composite(measures(t(s, d, "events")), "user_id", {"views": 0.6, "activity": 0.4})
+
+
+@query("q23_views_and_activity", _MEASURES)
+def q23(s, d):
+    return measures(t(s, d, "events"))
+
+
+@query("q24_facet_counts", "SELECT o_orderpriority AS facet, count(*) AS packs FROM orders GROUP BY 1")
+def q24(s, d):
+    return t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("facet")).agg(F.count("*").alias("packs"))
+
+
+@query("q25_packs_without_mod", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def q25(s, d):
+    return t(s, d, "orders").select("o_orderkey").join(t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query("q26_compare_packs", """
+SELECT event_type AS metric, count(*) FILTER (user_id = 1) AS pack_1, count(*) FILTER (user_id = 2) AS pack_2, count(*) FILTER (user_id = 3) AS pack_3
+FROM events WHERE user_id IN (1, 2, 3) GROUP BY 1""")
+def q26(s, d):
+    chosen = t(s, d, "events").where(F.col("user_id").isin(1, 2, 3))
+    wide = chosen.groupBy(F.col("event_type").alias("metric")).pivot("user_id", [1, 2, 3]).count().na.fill(0)
+    return wide.select("metric", *[F.col(str(i)).alias(f"pack_{i}") for i in (1, 2, 3)])
+
+
+@query("q27_dashboard_manifest", "SELECT 'data/bucket=' || (doc_id % 16) AS part, count(*) AS rows FROM documents GROUP BY 1")
+def q27(s, d):
+    return report.manifest(report.bucketed(t(s, d, "documents"), "doc_id", 16))
+
+
+@query("q28_data_parts_by_bucket", "SELECT doc_id % 16 AS bucket, doc_id, lang, source FROM documents")
+def q28(s, d):
+    return report.bucketed(t(s, d, "documents"), "doc_id", 16).select("bucket", "doc_id", "lang", "source")
+
+
+_REQUESTS = """SELECT event_id AS id, ts, 'ip' || (user_id % 10) AS client, CASE WHEN event_type = 'error' THEN 'GET' ELSE 'POST' END AS method,
+  NOT (event_type = 'signup' AND value < 20) AS valid, event_type, value FROM events"""
+_STATUS = f"""SELECT *, CASE WHEN method <> 'POST' THEN 405
+    WHEN coalesce(sum(CASE WHEN method = 'POST' AND valid THEN 1 ELSE 0 END) OVER (PARTITION BY client, CAST(ts AS DATE) ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 10 THEN 429
+    WHEN NOT valid THEN 400 ELSE 200 END AS status FROM ({_REQUESTS})"""
+
+
+@query("q30_feedback_route", f"SELECT id, client, method, CASE WHEN method <> 'POST' THEN 405 END AS routed FROM ({_REQUESTS})")
+def q30(s, d):
+    return feedback.route(feedback.derived(t(s, d, "events"))).select("id", "client", "method", "routed")
+
+
+@query("q31_feedback_rate_limit", f"SELECT id, client, status FROM ({_STATUS})")
+def q31(s, d):
+    return feedback.limited(feedback.derived(t(s, d, "events"))).select("id", "client", "status")
+
+
+@query("q32_feedback_validate")
+def q32(s, d):
+    """The events' props with a content made of them, as bodies."""
+    bodies = t(s, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.to_json(F.struct(F.col("props").alias("content")))).alias("body"))
+    return feedback.validated(bodies).select("event_id", "status")
+
+
+@query("q33_feedback_forward", f"""
+SELECT id, '{{"content":"' || event_type || '","type":null,"secret":"s3","ip":"' || client || '"}}' AS forward,
+  CASE WHEN event_type <> 'click' AND value >= 50 THEN 200 ELSE 502 END AS status
+FROM ({_STATUS}) WHERE status = 200""")
+def q33(s, d):
+    """Upstream is taken to answer unless the event is a click, with ok from 50 on."""
+    ok = feedback.limited(feedback.derived(t(s, d, "events"))).where("status = 200")
+    sent = feedback.forwarded(ok, F.lit("s3"), {"content": F.col("event_type"), "type": F.lit(None).cast("string"), "secret": F.lit("client's"), "ip": F.lit("client's")})
+    return sent.select("id", "forward", feedback.reply_status(F.col("event_type") != "click", F.col("value") >= 50).alias("status"))
+
+
+@query("q34_feedback_mail_rows", f"""
+SELECT id, event_type <> 'click' AS ok, CASE WHEN event_type <> 'click' THEN 'box' END AS "to",
+  CASE WHEN event_type <> 'click' THEN '[整合包工具反馈] ' || CASE WHEN event_type = 'view' THEN '其他' ELSE event_type END END AS subject,
+  CASE WHEN event_type <> 'click' THEN '版本: undefined' || chr(10) || '类型: ' || CASE WHEN event_type = 'view' THEN 'undefined' ELSE event_type END || chr(10)
+    || '联系方式: 未提供' || chr(10) || 'IP: ' || client || chr(10) || chr(10) || event_type END AS body
+FROM ({_STATUS}) WHERE status = 200""")
+def q34(s, d):
+    ok = feedback.limited(feedback.derived(t(s, d, "events"))).where("status = 200")
+    payload = ok.select("id", F.when(F.col("event_type") != "click", "s3").alias("secret"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("type"),
+        F.lit(None).cast("string").alias("version"), F.lit("").alias("contact"), F.col("client").alias("ip"), F.col("event_type").alias("content"))
+    return feedback.mail_rows(payload, "s3", "box")
+
+
+@query("q35_feedback_stream_daily", f"""
+SELECT client, CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN method = 'POST' AND valid THEN 1 ELSE 0 END) AS BIGINT) AS valid,
+  CAST(least(sum(CASE WHEN method = 'POST' AND valid THEN 1 ELSE 0 END), 10) AS BIGINT) AS accepted FROM ({_REQUESTS}) GROUP BY 1, 2""")
+def q35(s, d):
+    return streaming.daily_limits(s, d)
+
+
+@query("q36_refresh_available_now", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def q36(s, d):
+    return streaming.newest_versions(s, d)
