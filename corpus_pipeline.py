@@ -28,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a secret keep their ``n_chars`` as it was."""
-    masked = secrets.mask(docs.withColumn("_old", F.length("text")), secrets.train(spark))
-    changed = F.contains("text", F.lit(secrets.MASK)) & (F.col("_old") != F.length("text"))
+    masked = secrets.mask(docs.withColumn("__length_before", F.length("text")), secrets.train(spark))
+    changed = F.contains("text", F.lit(secrets.MASK)) & (F.col("__length_before") != F.length("text"))
     return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

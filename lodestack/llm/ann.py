@@ -3,7 +3,7 @@
 Trees are grown on a bounded sample (``sample_rows``): each node parts its sample at the median of a projection on the difference of
 two of its vectors. Every row is indexed: it goes down every tree to one leaf. A query walks all trees through one priority queue, which
 holds the sides not taken with the largest margin crossed on the way to them, and takes leaves, nearest first, until they hold ``share`` times all
-indexed rows (a row counts once per tree that it is met in). (tree, leaf) blocks of rows meet the queries that took them, hash-dealt into chunks of bounded size; each block returns the best
+indexed rows, and ``least`` rows per tree, so small tables are searched whole (a row counts once per tree that it is met in). (tree, leaf) blocks of rows meet the queries that took them, hash-dealt into chunks of bounded size; each block returns the best
 of each query by matrix product, whose scores are then summed again in double precision, component by component, on the original vectors.
 
 For nearness by inner product the rows are lifted by one component that makes all norms equal, so that the trees, which part by direction, fit it.
@@ -94,7 +94,7 @@ def _usable(v: Column) -> Column:
 
 def search(
     df: DataFrame, k: int, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding",
-    trees: int = 8, depth: int = 6, share: float = 1.4, sample_rows: int = SAMPLE_ROWS,
+    trees: int = 8, depth: int = 6, share: float = 1.4, least: int = 256, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows found with the largest inner product for each row where ``is_query``."""
     spark = df.sparkSession
@@ -130,7 +130,7 @@ def search(
     asked = rows.where("asked").groupBy("h1", "h2").agg(F.min("id").alias("q"), F.first("v").alias("v"))
     asked = written(asked, "queries")
     rounds = max(1, -(-asked.count() // QUERY_CHUNK))
-    enough = int(np.ceil(share * n))
+    enough = max(int(np.ceil(share * n)), trees * least)
 
     def probe(batches):
         for b in batches:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from . import chunks
 from .shared import ship
@@ -94,7 +94,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
     names = [*df.columns, "ids", *(["starts"] if offsets else [])]
     schema = StructType(list(df.schema)).add("ids", "binary")
     if offsets:
-        schema = schema.add("starts", "array<int>")
+        schema = schema.add("starts", ArrayType(IntegerType()))
     return df.mapInArrow(run, schema)
 
 

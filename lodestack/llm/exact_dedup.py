@@ -23,7 +23,7 @@ def _hashes(text: Column) -> list[Column]:
 
 
 def _key(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_key")
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("__dedup_key")
 
 
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
@@ -55,10 +55,10 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``df`` that stay, all columns; rows alike in id and text stay once."""
-    stay = groups(df, doc_id, text, keep).where("kept").select(_key(doc_id), F.col("text_sha256").alias("_sha")).distinct()
-    rows = df.select("*", _key(doc_id), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_sha"))
+    stay = groups(df, doc_id, text, keep).where("kept").select(_key(doc_id), F.col("text_sha256").alias("__dedup_sha")).distinct()
+    rows = df.select("*", _key(doc_id), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__dedup_sha"))
     # both steps deal rows by text and id, so a text with many rows is spread over tasks
-    return rows.join(stay, ["_sha", "_key"], "left_semi").dropDuplicates(["_sha", "_key"]).select(df.columns)
+    return rows.join(stay, ["__dedup_sha", "__dedup_key"], "left_semi").dropDuplicates(["__dedup_sha", "__dedup_key"]).select(df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

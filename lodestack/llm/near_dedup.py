@@ -306,8 +306,8 @@ def _several(usable: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: those with the smallest id of each component."""
-    stay = classify(docs, words, percent, doc_id, text).where("NOT kept").select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(stay, docs[doc_id].cast("long") == stay["_gone"], "left_anti").select(docs.columns)
+    stay = classify(docs, words, percent, doc_id, text).where("NOT kept").select(F.col(doc_id).alias("__gone")).distinct()
+    return docs.join(stay, docs[doc_id].cast("long") == stay["__gone"], "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

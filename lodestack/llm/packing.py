@@ -91,26 +91,26 @@ def pack(items: DataFrame, capacity: int, length: str = "length", keys: tuple[st
     """
     spark = items.sparkSession
     salts = 4 * parallelism(spark)
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).withColumn("_l", F.col(length).cast("long"))
-    per_salt = salted.groupBy("_l", "_salt").agg(F.count("*").alias("_n"))
-    counts = {r[0]: r[1] for r in per_salt.groupBy("_l").agg(F.sum("_n").alias("_n")).collect()}  # one row per length
+    salted = items.withColumn("__pack_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).withColumn("__pack_l", F.col(length).cast("long"))
+    per_salt = salted.groupBy("__pack_l", "__pack_salt").agg(F.count("*").alias("__pack_n"))
+    counts = {r[0]: r[1] for r in per_salt.groupBy("__pack_l").agg(F.sum("__pack_n").alias("__pack_n")).collect()}  # one row per length
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     steps = spark.createDataFrame(pack_counts(counts, capacity), STEP)
     begins = per_salt.withColumn(
-        "_first", F.sum("_n").over(Window.partitionBy("_l").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    ).select("_l", "_salt", F.coalesce("_first", F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_l", "_salt").orderBy(*keys)
-    numbered = salted.withColumn("_r", F.row_number().over(within) - 1).join(begins, ["_l", "_salt"]).withColumn("_k", F.col("_first") + F.col("_r"))
+        "__pack_first", F.sum("__pack_n").over(Window.partitionBy("__pack_l").orderBy("__pack_salt").rowsBetween(Window.unboundedPreceding, -1))
+    ).select("__pack_l", "__pack_salt", F.coalesce("__pack_first", F.lit(0)).alias("__pack_first"))
+    within = Window.partitionBy("__pack_l", "__pack_salt").orderBy(*keys)
+    numbered = salted.withColumn("__pack_r", F.row_number().over(within) - 1).join(begins, ["__pack_l", "__pack_salt"]).withColumn("__pack_k", F.col("__pack_first") + F.col("__pack_r"))
     # the steps of a length are few, and all of them together bounded by the capacity
-    by_length = steps.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("k0", "k1", "bin0", "per_bin", "at"))).alias("_steps"))
-    placed = numbered.join(F.broadcast(by_length.withColumnRenamed("length", "_l")), "_l").withColumn(
-        "_s", F.filter("_steps", lambda s: (s["k0"] <= F.col("_k")) & (F.col("_k") < s["k1"]))[0]
+    by_length = steps.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("k0", "k1", "bin0", "per_bin", "at"))).alias("__pack_steps"))
+    placed = numbered.join(F.broadcast(by_length.withColumnRenamed("length", "__pack_l")), "__pack_l").withColumn(
+        "__pack_s", F.filter("__pack_steps", lambda s: (s["k0"] <= F.col("__pack_k")) & (F.col("__pack_k") < s["k1"]))[0]
     )
-    k = F.col("_k") - F.col("_s.k0")
+    k = F.col("__pack_k") - F.col("__pack_s.k0")
     return placed.withColumns({
-        "sequence_id": F.col("_s.bin0") + F.floor(k / F.col("_s.per_bin")).cast("long"),
-        "offset": F.col("_s.at") + k % F.col("_s.per_bin") * F.col("_l"),
+        "sequence_id": F.col("__pack_s.bin0") + F.floor(k / F.col("__pack_s.per_bin")).cast("long"),
+        "offset": F.col("__pack_s.at") + k % F.col("__pack_s.per_bin") * F.col("__pack_l"),
     }).select(*items.columns, "sequence_id", "offset")
 
 

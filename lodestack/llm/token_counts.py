@@ -7,7 +7,7 @@ scores the piece that begins first stays, since a later one must be strictly bet
 covers alone may be an unknown one, scored ten below the worst piece, and counts one byte piece per UTF-8 byte
 (byte fallback). The pieces and scores are those of a public SentencePiece file; its scores are whole numbers, so sums are exact.
 
-A text is cut before each space, which becomes U+2581, with one put in front of the text, as the library's Metaspace does. Words repeat: each
+A text is cut before each space, which becomes U+2581, with one put in front of a text that does not begin with one, as the library's Metaspace does. Words repeat: each
 worker keeps a bounded table of counts by word, emptied when full.
 
 Cases: null and empty texts count 0 tokens; very long texts and words are read whole; repeated rows are counted each; other
@@ -74,7 +74,10 @@ class UnigramCounter:
         if not text:
             return 0
         known, total = self._known, 0
-        for w, n in Counter(text.split(" ")).items():
+        words = text.replace(SPACE_MARK, " ").split(" ")
+        if not words[0]:  # a text that begins with a space gets no other in front
+            del words[0]
+        for w, n in Counter(words).items():
             if (c := known.get(w)) is None:
                 if len(known) >= self._limit:
                     known.clear()

@@ -38,6 +38,7 @@ LANDMARKS, SUPPORT, LEAST_EXCESS = 40, 4, 8.0
 COST = 1.0
 _LIMIT = 1_500_000
 _SENTENCE = re.compile(r"[.!?\n]+")
+_STOPS = str.maketrans(".!?", "   ")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}<>*_-#%&$~|/\\"
 
@@ -45,12 +46,16 @@ _EDGE = ".,;:!?\"'()[]{}<>*_-#%&$~|/\\"
 def sentence_words(sentence: str) -> list[str]:
     """The lower-case words of a sentence, punctuation around them included, and its runs of single characters as words."""
     lower = sentence.lower()
-    return lower.split() + [re.sub(r"\s", "", m) for m in _SPACED.findall(lower)]
+    return lower.split() + spaced_words(lower)
 
 
-def pairs(word: str) -> set[str]:
+def spaced_words(lower: str) -> list[str]:
+    return ["".join(m.split()) for m in _SPACED.findall(lower)]
+
+
+def pairs(word: str) -> set[tuple[str, str]]:
     """Ordered pairs of characters with at most two others between them."""
-    return {a + b for d in (1, 2, 3) for a, b in zip(word, word[d:])}
+    return {*zip(word, word[1:]), *zip(word, word[2:]), *zip(word, word[3:])}
 
 
 class WordKernel:
@@ -66,8 +71,11 @@ class WordKernel:
         #: [j, k]: what a match at character j is worth at character k behind it.
         self._spread = np.where(gap > 0, DECAY ** np.maximum(gap - 1, 0), 0.0)
         #: Adjacent characters of landmarks; a similar word has some of them, with others between them at most.
-        self._adjacent = [{a + b for a, b in zip(w, w[1:])} for w in landmarks]
-        self._any = set().union(*self._adjacent)
+        #: As bits: which landmarks have the pair.
+        self._having: dict[tuple[str, str], int] = {}
+        for i, w in enumerate(landmarks):
+            for p in set(zip(w, w[1:])):
+                self._having[p] = self._having.get(p, 0) | 1 << i
         self._own = np.array([_self_kernels((w,))[0] for w in landmarks])
         self._table: dict[str, np.ndarray | None] = {}
 
@@ -90,13 +98,20 @@ class WordKernel:
         A pair is worked out if at least two of the landmark's pairs of adjacent characters stand in the word in order; a
         long word is as similar as its most similar window."""
         by_length: dict[int, list[tuple[int, str, int]]] = {}
+        having = self._having.keys()
         for i, w in enumerate(words):
             for k in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2) if len(w) > LONGEST else (0,):
                 part = w[k : k + LONGEST]
-                if len(part) >= ORDER and len(met := pairs(part) & self._any) >= 2:
-                    for j, of in enumerate(self._adjacent):
-                        if len(met & of) >= 2:
-                            by_length.setdefault(len(part), []).append((i, part, j))
+                if len(part) < ORDER:
+                    continue
+                once_met = twice_met = 0
+                for p in pairs(part) & having:
+                    twice_met |= once_met & self._having[p]
+                    once_met |= self._having[p]
+                while twice_met:
+                    low = twice_met & -twice_met
+                    by_length.setdefault(len(part), []).append((i, part, low.bit_length() - 1))
+                    twice_met ^= low
         out: dict[int, np.ndarray] = {}
         for rows in by_length.values():
             for k in range(0, len(rows), 4096):
@@ -108,8 +123,8 @@ class WordKernel:
                     f[to[r]] = max(f[to[r]], s[r])
         return out
 
-    def near(self, words_of: list) -> list[np.ndarray | None]:
-        """For each collection of words the largest similarity to each landmark; None if all are 0."""
+    def near_words(self, words_of: list) -> list[dict[str, np.ndarray]]:
+        """For each collection of words those that are similar to a landmark, with their similarities."""
         table = self._table
         missing = set().union(*words_of).difference(table)
         if missing:
@@ -120,11 +135,11 @@ class WordKernel:
             found = self.similarities([w.strip(_EDGE) for w in missing])
             table.update(dict.fromkeys(missing))
             table.update((missing[i], f) for i, f in found.items())
-        out = []
-        for words in words_of:
-            rows = [v for v in map(table.__getitem__, words) if v is not None]
-            out.append(np.max(rows, axis=0) if rows else None)
-        return out
+        return [{w: f for w in words if (f := table[w]) is not None} for words in words_of]
+
+    def near(self, words_of: list) -> list[np.ndarray | None]:
+        """For each collection of words the largest similarity to each landmark; None if all are 0."""
+        return [np.max(list(rows.values()), axis=0) if rows else None for rows in self.near_words(words_of)]
 
 
 def _kernel(landmarks: list[str]) -> WordKernel:
@@ -157,18 +172,20 @@ class ToxicityModel:
     shift: float
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's largest margin over its sentences; only texts with some similar word are cut into sentences."""
+        """Each text's largest margin over its sentences; a run of single characters, wherever it stands, is one of its own."""
         kernel = _kernel(self.landmarks)
+        lower = [(t or "").lower() for t in texts]
+        flat = [t.translate(_STOPS) for t in lower]
+        words = [set(t.split()) for t in flat]
+        runs = [spaced_words(t) for t in flat]
         out = np.full(len(texts), self.bias)
-        some = [i for i, f in enumerate(kernel.near([set(sentence_words(t)) if t else () for t in texts])) if f is not None]
-        owners, words = [], []
-        for i in some:
-            for s in _SENTENCE.split(texts[i]):
-                owners.append(i)
-                words.append(sentence_words(s))
-        for i, f in zip(owners, kernel.near(words) if words else ()):
-            if f is not None:
-                out[i] = max(out[i], float(f @ self.weights) + self.bias)
+        for i, (near, run) in enumerate(zip(kernel.near_words(words), kernel.near_words(runs))):
+            found = list(run.values())
+            for s in _SENTENCE.split(lower[i]) if near else ():
+                if rows := [near[w] for w in s.split() if w in near]:
+                    found.append(np.max(rows, axis=0))
+            if found:
+                out[i] = max(self.bias, float((np.stack(found) @ self.weights).max()) + self.bias)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:

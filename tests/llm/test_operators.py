@@ -1,0 +1,322 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd tables."""
+
+import base64
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from lodestack.llm import ann, byte_bpe, chunks, exact_dedup, near_dedup, packing, secrets, simple8b, token_counts, token_files, toxicity, warc
+from lodestack.llm.shared import written
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, ids string, _key string, u int, score string"
+ODD = [None, "", " ", "a", "the cat", "the cat", "é\n\n  x", "你好 мир 'll 12³ \x1c!", "I d i o t and idiot", "x" * 3000 + " y", "word " * 5000, "<|endoftext|>", "ﬁ́ İ", "ab\0cd \0"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, None, None, None, "k", "z", "q", 1, "s") for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[4], (None, "the cat", *rows[0][2:]), (None, None, *rows[0][2:])], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def library_ids(path, texts):
+    return [e.ids for e in chunks.library(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_op1_is_tiktoken_and_round_trips(spark, odd, empty):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    for r in byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN, offsets=True), path, P.PATTERN).collect():
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert ids == own.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "")
+        assert len(r["starts"]) == len(ids) and (not ids or r["starts"][0] == 0)
+    assert "ids" in byte_bpe.encode(odd, path, P.PATTERN).columns and byte_bpe.encode(empty, path, P.PATTERN).count() == 0
+    half = spark.createDataFrame([(bytes(np.array(own.encode_ordinary("é")[:1], "<u4").tobytes()),), (None,)], "ids binary")
+    assert [r["decoded"] for r in byte_bpe.decode(half, path, P.PATTERN).collect()][1] == ""
+
+
+def test_offsets():
+    assert chunks.byte_characters() == chunks.BYTE_CHARACTERS and len(set(chunks.BYTE_CHARACTERS)) == 256
+    assert byte_bpe.character_starts("aé😀b", np.array([1, 2, 2, 2, 1])).tolist() == [0, 1, 2, 2, 3]
+
+
+def test_table_limit_changes_nothing():
+    texts = [t for t in ODD if t] * 2
+    whole = chunks.byte_level(P.path("byte_bpe_50k.json")).encode(texts)
+    small = chunks.PieceEncoder(chunks.library(P.path("byte_bpe_50k.json")), chunks.BYTE_PIECE, chunks.SPACED_WORD, limit=3)
+    assert [small.encode([t])[0] for t in texts] == whole
+
+
+def test_op2_is_the_librarys_unigram(spark, odd, empty):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = P.path("piece_bpe_32k.model")
+    own = Tokenizer(models.Unigram(token_counts.read_pieces(path), 0, True))
+    own.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    rows = token_counts.count_tokens(docs, path).collect()
+    want = [len(e.ids) for e in own.encode_batch([(r["text"] or "") for r in rows], add_special_tokens=False)]
+    assert [(r["text"], r["n_tokens"]) for r in rows if len(r["text"] or "") < 2000] == [(r["text"], w) for r, w in zip(rows, want) if len(r["text"] or "") < 2000]
+    assert token_counts.count_tokens(empty, path).count() == 0
+    r, tied = random.Random(1), [("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁", 0.0), ("<unk>", -5.0)]
+    for _ in range(300):
+        word = "".join(r.choice("abc") for _ in range(r.randint(1, 12)))
+        lib = Tokenizer(models.Unigram(tied, 6, False)).encode(word).ids
+        if "c" not in word:
+            assert token_counts.UnigramCounter(tied).word(word) == len(lib)
+
+
+def best_fit(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fit = [r for r in rooms if r >= n]
+        room = min(fit) if fit else capacity
+        if fit:
+            rooms.remove(room)
+        rooms.append(room - n)
+    return len(rooms)
+
+
+def test_op3_counts_are_best_fit_decreasing():
+    r = random.Random(5)
+    for _ in range(150):
+        capacity = r.randint(3, 60)
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(0, 150))]
+        bins = defaultdict(list)
+        for n, k0, k1, b, q, at in packing.pack_counts(Counter(lengths), capacity):
+            for k in range(k0, k1):
+                bins[b + (k - k0) // q].append((at + (k - k0) % q * n, n))
+        assert len(bins) == best_fit(lengths, capacity) and sum(map(len, bins.values())) == len(lengths)
+        for items in bins.values():
+            assert [o for o, _ in sorted(items)] == np.cumsum([0] + [n for _, n in sorted(items)])[:-1].tolist() and sum(n for _, n in items) <= capacity
+
+
+def test_op3_pieces(spark, odd, empty):
+    rows = packing.pack_documents(spark, odd, 64).collect()
+    want = Counter((r["doc_id"], len(i) + 1) for r, i in zip(odd.collect(), library_ids(P.path("word_bpe_49k.json"), [r["text"] for r in odd.collect()])))
+    assert sum(r["length"] for r in rows) == sum(n * k for (_, n), k in want.items())
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for items in bins.values():
+        assert [o for o, _ in sorted(items)] == np.cumsum([0] + [n for _, n in sorted(items)])[:-1].tolist() and sum(n for _, n in items) <= 64
+    assert len(bins) == best_fit([r["length"] for r in rows], 64)
+    one = next(r for r in rows if r["doc_id"] == 3)
+    ids = [*library_ids(P.path("word_bpe_49k.json"), ["a"])[0], 0]
+    assert one["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert packing.pack_documents(spark, empty).count() == 0
+
+
+def test_op4_tolerates_gaps_and_learns(spark, odd, empty):
+    k = toxicity.WordKernel(("idiot", "moron"))
+    near = k.near([["id-iot"], ["table"], ["idiot"]])
+    assert float(near[2][0]) == pytest.approx(1) and near[0][0] > 0.4 and near[1] is None
+    assert toxicity.spaced_words("you i d i o t there") == ["idiot"]
+    plain = toxicity.ToxicityModel(["idiot", "moron"], np.ones(2), -1.0, 1.0, 0.0)
+    assert (plain.margins(["an i.d.i.o.t!", "an i d i o t", "so.idiot"]) > -0.1).all() and plain.margins(["a table", None])[0] == -1
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("score", "predicted", "toxic").collect()
+    clean = [r for r in rows if not r["toxic"]]
+    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean) and any(r["predicted"] for r in rows if r["toxic"])
+    got = toxicity.score(odd, model)
+    assert all(0 <= r["score"] <= 1 for r in got.collect()) and got.columns[-2:] == ["score", "predicted"]
+    assert toxicity.score(empty, model).count() == 0
+    assert toxicity.train(docs, labels.where("false")) is None and toxicity.score(odd, None).where("score <> 0").count() == 0
+
+
+def brute_components(rows, words, percent):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        if i is not None:
+            sets.setdefault(i, []).append(frozenset(tuple(w[k : k + words]) for k in range(max(len(w) - words + 1, 1))) if w else frozenset())
+    up = {i: i for i in sets}
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_op5_is_brute_force(spark, odd, empty, words):
+    r = random.Random(words)
+    base = [r.choice("abcdefghijklmnop") + r.choice("aeiou") + str(r.randrange(40)) for _ in range(150)]
+    rows = []
+    for i in range(160):  # a chain of near copies whose ends are far apart
+        text = list(base)
+        for _ in range(r.randint(0, 9)):
+            text[r.randrange(len(text))] = f"w{r.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(text)))
+    rows += [(i, t) for i, t in enumerate(ODD)] + [(4, "the cat"), (None, "the cat"), (5000, " ".join(base).upper())]
+    got = near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string"), words, 80).collect()
+    want = brute_components(rows, words, 80)
+    assert {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == want and len(got) == len(rows)
+    assert all(x["kept"] == (x["doc_id"] is None or x["doc_id"] == x["component_id"]) for x in got)
+    assert near_dedup.classify(empty).count() == 0 and near_dedup.dedup(odd).columns == odd.columns
+
+
+def test_op5_blocks_find_what_stars_leave(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    r, base = random.Random(2), [f"v{i}" for i in range(120)]
+    rows = [(i, " ".join(w if r.random() > 0.06 else f"n{r.randrange(9**9)}" for w in base)) for i in range(90)]
+    got = near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == brute_components(rows, 2, 80)
+
+
+def test_op5_estimate():
+    r = np.random.default_rng(1)
+    for j in (0.5, 0.8, 0.95):
+        both = int(2000 * j)
+        x = np.unique(r.integers(0, 2**64, 4000, dtype=np.uint64))
+        rest = (2000 - both) // 2
+        p = r.permutation(len(x))
+        a, b = np.sort(np.concatenate([x[p[:both]], x[p[both : both + rest]]])), np.sort(np.concatenate([x[p[:both]], x[p[both + rest : both + 2 * rest]]]))
+        est, n = near_dedup.estimated(near_dedup.sketch(a), near_dedup.sketch(b))
+        assert abs(est - both / (both + 2 * rest)) < 0.2 and n == 128
+
+
+def test_op6_cases(spark, odd, empty):
+    got = sorted(exact_dedup.groups(odd).collect(), key=repr)
+    by = defaultdict(list)
+    for r in odd.collect():
+        by[r["text"] or ""].append(r["doc_id"])
+    assert len(got) == odd.count()
+    for r in got:
+        ids = next(v for t, v in by.items() if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
+        assert r["group_size"] == len(ids) and r["keep_id"] == min(i for i in ids if i is not None) and r["kept"] == (r["doc_id"] == r["keep_id"])
+    left = exact_dedup.dedup(odd)
+    assert left.count() == len(by) and left.columns == odd.columns
+    assert exact_dedup.groups(empty).count() == 0 and exact_dedup.dedup(empty).count() == 0
+
+
+def test_op6_collisions_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_hashes", lambda text: [F.length(text).cast("long").alias("_h1"), F.lit(1).cast("long").alias("_h2")])
+    df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aa"), (4, "c"), (5, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.groups(df, keep="max").collect()) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1), (5, 5, 1)]
+
+
+def test_simple8b_round_trip():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 1023, 1024, 1025, 9000):
+        for high in (0, 1, 100, 50_257, 2**61, 2**64 - 1):
+            v = r.integers(0, high, n, dtype=np.uint64, endpoint=True)
+            v = np.where(r.random(n) < 0.5, v, v % np.uint64(7))
+            words, offsets = simple8b.encode(v)
+            assert (simple8b.decode(words, offsets, n) == v).all()
+
+
+def test_op7_round_trip(spark, odd, empty):
+    path = P.path("byte_bpe_50k.json")
+    rows = token_files.read(token_files.write(odd, path)).collect()
+    source = odd.collect()
+    ids = library_ids(path, [r["text"] for r in source])
+    want = Counter((r["doc_id"], np.array([*i, 0], "<u4").tobytes()) for r, i in zip(source, ids))
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in rows) == want
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += len(r["ids"]) // 4
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda x: (x is not None, x or 0))
+    assert token_files.read(token_files.write(empty, path)).count() == 0
+
+
+def test_op8_forest_and_mask(spark, odd, empty):
+    forest = secrets.train(spark)
+    x = [(secrets.features(v, b, a, p, secrets._rule_of(v)), y) for v, b, a, p, y in secrets.labelled_findings(1000, seed=99)]
+    assert np.mean((forest.probability(np.array([f for f, _ in x])) >= 0.5) == np.array([y for _, y in x])) > 0.95
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    df = spark.createDataFrame([(1, f'so token = "{key}" there'), (2, f"git commit {key} done"), (3, None), (4, "plain")], "doc_id long, text string")
+    found = {(r["doc_id"], r["is_secret"]) for r in secrets.scan(df, forest).collect()}
+    assert found == {(1, True), (2, False)}
+    assert [r["text"] for r in secrets.mask(df, forest).orderBy("doc_id").collect()] == [f'so token = "{secrets.MASK}" there', f"git commit {key} done", None, "plain"]
+    assert sorted(map(repr, secrets.mask(odd, forest).collect())) == sorted(map(repr, odd.collect()))
+    assert secrets.scan(empty, forest).count() == 0 and secrets.mask(empty, forest).count() == 0
+
+
+def test_op9_archives(spark):
+    rows = [(1, "http://a/é x", "same"), (2, None, "same"), (3, "http://b", None), (4, "", ""), (5, "http://c\r\n", "é" * 200_000), (None, "n", "same"), (2, "again", "same"), (6, "u", "only")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, path string, offset string")
+    index = warc.write(pages)
+    got = warc.read(index).collect()
+    best = {}
+    for i, _, h in rows:
+        best[h or ""] = max(best.get(h or "", -1), i if i is not None else -1)
+    want = Counter()
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        r = i == best[h or ""]
+        want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if r else "revisit", None if r else best[h or ""]] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in got if r["payload"] is not None} == {b: h for h, b in best.items()}
+    assert warc.read(index.where("record_type = 'revisit'")).count() == sum(n for k, n in want.items() if k[3] == "revisit")
+    assert warc.read(warc.write(pages.where("false"))).count() == 0
+    small = warc.read(warc.write(pages, least=5)).collect()
+    assert all(r["record_type"] == "response" for r in small if r["payload_bytes"] < 5)
+
+
+def test_op10_recall_and_cases(spark):
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    rows += [(10_000 + i, rows[3][1]) for i in range(60)] + [(None, rows[0][1]), (20_001, None), (20_002, []), (20_003, [0.0] * 64), (20_004, [None] + [1.0] * 63), (20_005, [float("nan")] * 64), (20_006, [1.0, 2.0]), rows[5]]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, leaf string")
+    got = defaultdict(list)
+    for r in ann.search(df, 20, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    usable = {i: np.float32(v).astype(float) for i, v in rows if i is not None and (i < 20_000)}
+    ids, x = np.array(list(usable)), np.stack(list(usable.values()))
+    hits = 0
+    for q in (i for i in usable if i % 20 == 0):
+        s = np.zeros(len(ids))
+        for d in range(64):
+            s += usable[q][d] * x[:, d]
+        want = [i for i in ids[np.lexsort((ids, -s))].tolist() if i != q][:20]
+        hits += len({i for i, _ in got[q]} & set(want)) / 20
+        assert got[q] == sorted(got[q], key=lambda t: (-t[1], t[0])) and q not in {i for i, _ in got[q]} and len(got[q]) == 20
+        assert all(v == s[ids == i][0] for i, v in got[q])
+    assert len(got) == sum(i % 20 == 0 for i in usable) and hits / len(got) >= 0.9
+    assert ann.search(df.where("false"), 20, F.col("vec_id") % 20 == 0).count() == 0
+    few = ann.search(df.where("vec_id < 5"), 20, F.col("vec_id") == 0)
+    assert few.count() == 4
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "exact_dedup":
+            assert docs.count() == docs.select("text").distinct().count()
+        if name == "near_dedup":
+            pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
+            assert all(k == v for k, v in brute_components(pairs, 5, 80).items())
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
