@@ -90,12 +90,24 @@ _encoders: dict[tuple, object] = {}
 
 
 def once(key: tuple, make):
-    """What ``make`` returns, made once per worker."""
+    """What ``make`` returns, made once per worker; it takes the place of what another operator left, so that a worker
+    that serves several holds one table of words at a time."""
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = make()
     return _encoders[key]
 
 
+SLICE = 256
+
+
+def parts(batches):
+    """The batches in runs of few rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, len(b), SLICE):
+            yield b.slice(i, SLICE)
+
+
 def library(path: str):
     """A tokenizer file of the tokenizers library, special strings read as ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

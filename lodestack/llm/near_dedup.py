@@ -137,7 +137,7 @@ def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "t
 
     def run(batches):
         shingles = chunks.once(("shingles", words), lambda: Shingler(words))
-        for b in batches:
+        for b in chunks.parts(batches):
             texts = b.column(1).to_pylist()
             n, f1, f2, s = [], [], [], []
             for t in texts:
@@ -185,8 +185,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     def run(batches):
         shingles = chunks.once(("shingles", words), lambda: Shingler(words))
-        for b in batches:
-            held = (None, None)
+        held = (None, None)
+        for b in chunks.parts(batches):
             keep = []
             for v, t, o in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 if held[0] is None or held[0] != (v, len(o)):

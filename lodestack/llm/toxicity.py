@@ -36,7 +36,7 @@ TRAIN_DOCUMENTS = 12_000
 #: Landmarks: at most so many words, in at least SUPPORT sentences of toxic documents, LEAST_EXCESS deviations above chance.
 LANDMARKS, SUPPORT, LEAST_EXCESS = 40, 4, 8.0
 COST = 1.0
-_LIMIT = 1_500_000
+_LIMIT = 500_000
 _SENTENCE = re.compile(r"[.!?\n]+")
 _STOPS = str.maketrans(".!?", "   ")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -289,10 +289,8 @@ def score(df: DataFrame, model: ToxicityModel | None, text: str = "text") -> Dat
     at, names, sent = df.columns.index(text), [*df.columns, "score"], spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            s = [sent.value.score(texts[i : i + 256]) for i in range(0, len(texts), 256)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(s) if s else np.zeros(0))], names)
+        for b in chunks.parts(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(b.column(at).to_pylist()))], names)
 
     return df.mapInArrow(run, StructType(list(df.schema)).add("score", "double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
