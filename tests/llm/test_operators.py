@@ -259,6 +259,23 @@ def test_op8_forest_and_mask(spark, odd, empty):
     assert secrets.scan(empty, forest).count() == 0 and secrets.mask(empty, forest).count() == 0
 
 
+def test_op8_secrets_of_any_length(spark):
+    r = random.Random(5)
+    texts = []
+    for n in (20, 256, 257, 1000, 10_000):
+        v = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+        texts += [(f'the AWS_SESSION_TOKEN = "{v}" end', v), (f"the token {v} end", v), (f"see ftp://user:{v}@host", v), (f"a ghp_{v * 2} end", f"ghp_{v * 2}")]
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq0+/x9" * 2 for _ in range(400))
+    for head in ("RSA ", "ENCRYPTED ", "OPENSSH "):
+        pem = f"-----BEGIN {head}PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n{body}\n-----END {head}PRIVATE KEY-----"
+        texts.append((f"-----BEGIN {head}PRIVATE KEY----- begins the private key:\n{pem}\nend", pem))
+    for t, v in texts:
+        assert v in [t[b:e] for b, e, _ in secrets.candidates(t)], t[:60]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(df, secrets.train(spark)).collect()}
+    assert [t[:60] for i, (t, v) in enumerate(texts) if masked[i] != t.replace(v, secrets.MASK)] == []
+
+
 def test_op9_archives(spark):
     rows = [(1, "http://a/é x", "same"), (2, None, "same"), (3, "http://b", None), (4, "", ""), (5, "http://c\r\n", "é" * 200_000), (None, "n", "same"), (2, "again", "same"), (6, "u", "only")]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, path string, offset string")
