@@ -6,12 +6,16 @@ transitions, dictionary coverage, the path and the neighbouring words. Labelled
 is_secret); ``labelled_findings`` makes one by rule, of a fixed bounded size, where no real one is at hand. The trained trees are a
 few thousand numbers, sent to tasks as arrays; each task scans, judges and, if asked, masks its texts in one pass without a shuffle.
 
-Cases: null and empty texts have no findings; overlapping candidates: the one that begins first, of these the longest; very long texts are scanned
+Cases: null and empty texts have no findings; all candidates are judged, also
+overlapping ones; overlapping secrets are one, from the first begin to the last end, under the rule of the longest; rejected candidates that
+overlap a secret go, of the others the one that begins first stays, of these the longest; very long texts are scanned
 whole and secrets have no greatest length; repeated rows are scanned each; an empty table gives an empty table; other columns stay with ``mask``.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import random
 import re
@@ -53,23 +57,54 @@ WORDS = (
 ).split()
 _WORDS = frozenset(w for w in WORDS if len(w) >= 3)
 _RULES = [(k, re.compile(v)) for k, v in RULES.items()]
+_ASSIGNED = list(RULES).index("assigned")
+_SEGMENT = re.compile("[^=]+={0,2}")
 _NEAR, _NAME = 48, re.compile(r"[A-Za-z0-9]+")
 MASK = "[secret]"
 
 
 def candidates(text: str | None) -> list[tuple[int, int, int]]:
-    """(begin, end, rule) of each candidate, none overlapping."""
-    found = []
-    for r, (_, pattern) in enumerate(_RULES):
+    """(begin, end, rule) of each candidate, by begin; they may overlap."""
+    found = set()
+    for r, (name, pattern) in enumerate(_RULES):
+        g = "v" if "v" in pattern.groupindex else 0
         for m in pattern.finditer(text or ""):
-            g = "v" if "v" in pattern.groupindex else 0
-            found.append((m.start(g), m.end(g), r))
-    out, end = [], -1
-    for b, e, r in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-        if b >= end:
-            out.append((b, e, r))
-            end = e
-    return out
+            if name == "long_token" and "=" in m.group():
+                found.update(_behind_names(m.start(), m.group(), r))
+            else:
+                found.add((m.start(g), m.end(g), r))
+    return sorted(found, key=lambda x: (x[0], -x[1], x[2]))
+
+
+def _behind_names(at: int, run: str, rule: int):
+    """A run NAME=value is a candidate behind the name, short values as assigned ones; the name is one too if it is a long token itself."""
+    for i, m in enumerate(_SEGMENT.finditer(run)):
+        n = m.end() - m.start()
+        if n >= 20 and (i or any(c.isdigit() for c in m.group())):
+            yield at + m.start(), at + m.end(), rule
+        elif i and n >= 6:
+            yield at + m.start(), at + m.end(), _ASSIGNED
+
+
+def settled(judged: list[tuple[int, int, int, float]], least: float) -> list[tuple[int, int, int, float]]:
+    """Of one text's judged candidates those that stay, none overlapping."""
+    order = lambda x: (x[0], -x[1], x[2])
+    secrets, longest = [], 0
+    for b, e, r, p in sorted((x for x in judged if x[3] >= least), key=order):
+        if secrets and b < secrets[-1][1]:
+            begin, end, rule, q = secrets[-1]
+            secrets[-1] = (begin, max(end, e), r, p) if e - b > longest else (begin, max(end, e), rule, q)
+            longest = max(longest, e - b)
+        else:
+            secrets.append((b, e, r, p))
+            longest = e - b
+    begins, out, last = [x[0] for x in secrets], list(secrets), -1
+    for b, e, r, p in sorted((x for x in judged if x[3] < least), key=order):
+        k = bisect.bisect_left(begins, e)
+        if b >= last and not (k and secrets[k - 1][1] > b):
+            out.append((b, e, r, p))
+            last = e
+    return sorted(out)
 
 
 def _kind(c: str) -> int:
@@ -187,19 +222,20 @@ def _nodes(root) -> list[tuple[int, float, int, int, float]]:
     return out
 
 
-def _judged(forest: Forest, texts: list[str | None], paths: list[str | None]):
-    """(row, begin, end, rule, probability) of all candidates of a batch, in order."""
+def _judged(forest: Forest, texts: list[str | None], paths: list[str | None], least: float = 0.5):
+    """(row, begin, end, rule, probability) of the candidates of a batch that stay, in order."""
     at, x = [], []
     for i, t in enumerate(texts):
         for b, e, r in candidates(t):
             at.append((i, b, e, r))
             x.append(features(t[b:e], t[max(0, b - _NEAR) : b], t[e : e + _NEAR], paths[i], r))
     p = forest.probability(np.array(x)) if x else []
-    return [(*a, float(q)) for a, q in zip(at, p)]
+    rows = itertools.groupby(zip(at, p), key=lambda y: y[0][0])
+    return [(i, *y) for i, some in rows for y in settled([(*a[1:], float(q)) for a, q in some], least)]
 
 
 def scan(df: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text", path: str | None = None, least: float = 0.5) -> DataFrame:
-    """A row per candidate: doc_id, begin and end (characters), rule, probability, is_secret."""
+    """A row per candidate that stays: doc_id, begin and end (characters), rule, probability, is_secret."""
     spark = df.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(forest)
@@ -207,7 +243,7 @@ def scan(df: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "tex
     def run(batches):
         for b in batches:
             ids = b.column(0)
-            rows = _judged(sent.value, b.column(1).to_pylist(), b.column(2).to_pylist())
+            rows = _judged(sent.value, b.column(1).to_pylist(), b.column(2).to_pylist(), least)
             i, begin, end, rule, p = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(i, pa.int64())), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array([_RULES[r][0] for r in rule], pa.string()), pa.array(p, pa.float64()), pa.array([q >= least for q in p], pa.bool_())],
@@ -229,7 +265,7 @@ def mask(df: DataFrame, forest: Forest, text: str = "text", path: str | None = N
         for b in batches:
             texts = b.column(at).to_pylist()
             paths = b.column(where).cast(pa.string()).to_pylist() if where is not None else [None] * len(texts)
-            for i, begin, end, _, p in reversed(_judged(sent.value, texts, paths)):
+            for i, begin, end, _, p in reversed(_judged(sent.value, texts, paths, least)):
                 if p >= least:
                     texts[i] = texts[i][:begin] + MASK + texts[i][end:]
             cols = list(b.columns)
@@ -240,6 +276,6 @@ def mask(df: DataFrame, forest: Forest, text: str = "text", path: str | None = N
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_secret_scan: every candidate of every whole text, with the forest's verdict."""
+    """op8_secret_scan: the candidates of every whole text, with the forest's verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(docs, train(spark))
