@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 
 from .shared import ship
 
+#: Telling names; what follows a closing quote; what is not a value but a name with its own to come.
+_TELLING = r"pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key|access[_-]?key"
+_CLOSED = r"[\s,;:)}\]>/\"'&]|\Z"
+_OTHER_NAME = rf"(?i:(?:{_TELLING})[\w-]{{0,20}}[\"']?\s{{0,3}}[:=])"
 #: Candidate patterns by rule. The value is the group named v, or all. Values have no greatest length: their runs
 #: are possessive and begin once each, so the time stays in proportion to the text.
 RULES = {
@@ -38,8 +42,8 @@ RULES = {
     "google_key": r"\bAIza[A-Za-z0-9_-]{35}",
     "stripe_key": r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "url_password": r"://(?<=[A-Za-z0-9+.-]{2}://)[^\s:/@]++:(?P<v>[^\s:/@]{3,}+)@",
-    "assigned": r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)[\w-]{0,20}[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"'](?P<v>[^\"'\s]{6,}+)[\"']",
+    "url_password": r"://(?<=[A-Za-z0-9+.-]{2}://)[^\s:/@]*+:(?P<v>[^\s:/@]{3,}+)@",
+    "assigned": rf"(?i:{_TELLING})[\w-]{{0,20}}(?:[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}[\"']?(?:(?i:basic|bearer|token)\s{{1,3}})?|[ \t][\"']?(?=[^\s\"']*(?:[0-9!@#$%^&*]|[a-z][A-Z])))(?![\"'])(?!{_OTHER_NAME})(?P<v>(?=[^\s]{{6}})[^\s\"']++(?:[\"'](?!{_CLOSED})[^\s\"']*+)*+)",
     "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}+",
 }
 #: Words whose nearness speaks for a secret, against one; path parts against one; common words of code and prose.
@@ -71,7 +75,7 @@ def candidates(text: str | None) -> list[tuple[int, int, int]]:
         for m in pattern.finditer(text or ""):
             if name == "long_token" and "=" in m.group():
                 found.update(_behind_names(m.start(), m.group(), r))
-            else:
+            elif name != "assigned" or m.end(g) - m.start(g) >= 6:
                 found.add((m.start(g), m.end(g), r))
     return sorted(found, key=lambda x: (x[0], -x[1], x[2]))
 
@@ -144,6 +148,9 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexes, mixed = "0123456789abcdef", string.ascii_letters + string.digits
     prose = lambda: " ".join(pick("etaoinshrdlu", r.randint(2, 9)) for _ in range(r.randint(2, 6)))
+    leet = lambda w: w.translate(str.maketrans("aeiost", "431057"))
+    word = lambda: r.choice([str, str, str.title, leet])(r.choice([r.choice(WORDS), pick("etaoinshrdlu", r.randint(4, 8))]))
+    chosen = lambda: "".join([word() + pick("!@#$%^&*", r.randint(0, 1)), pick(string.digits, r.randint(1, 4)), r.choice([word, lambda: pick("!@#$%^&*", 1)])()])
     out = []
     for i in range(n):
         secret = i % 2
@@ -152,18 +159,25 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 lambda: pick(hexes, r.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(mixed, 36),
                 lambda: pick(mixed + "+/", r.randint(24, 64)), lambda: "sk_live_" + pick(mixed, 24), lambda: pick(mixed + "!@#$%^&*", r.randint(8, 20)),
                 lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(mixed, 24), lambda: "eyJ" + pick(mixed, 20) + "." + pick(mixed, 40) + "." + pick(mixed, 43),
+                lambda: chosen().rjust(6, "7"),
             ])()
             name = r.choice(["token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "client_secret", "DB_PASSWORD", "private_key", "Authorization: Bearer"])
             before = prose() + r.choice([" ", "\n"]) + name + r.choice([" = \"", "=\"", ": \"", " = '", "=", ": ", " "])
             path = r.choice(["config/settings.py", "deploy/env.sh", "src/client.js", ".env", "main.tf", ""])
+            if not set(value) & set("/@") and r.random() < 0.1:
+                before = prose() + r.choice([" ", "\"", "="]) + r.choice(["redis", "postgres", "https", "ftp", "amqp", "mysql"]) + "://" + r.choice(["", "", pick("etaoinshrdlu", 5)]) + ":"
+                out.append((value, before[-_NEAR:], ("@" + pick("etaoinshrdlu", 6) + r.choice(["", ":80", ".com/x", "\" " + prose()]))[:_NEAR], path, secret))
+                continue
         else:
-            kind = r.randrange(7)
+            kind = r.randrange(9)
             value = [
                 lambda: pick(hexes, r.choice([32, 40, 64])), lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)),
                 lambda: "_".join(r.choice(WORDS) for _ in range(r.randint(4, 7))) + str(r.randint(1, 99)), lambda: r.choice(["your", "example", "changeme", "dummy", "sample"]) + r.choice(["_", "-"]) + r.choice(["api-key", "token", "password"]) + "-" + pick("x0", 6),
                 lambda: pick(string.digits, r.randint(20, 30)), lambda: "-".join(r.choice(WORDS) for _ in range(r.randint(4, 8))) + "-" + pick(string.digits, 4), lambda: "/".join(r.choice(WORDS) for _ in range(5)) + "/" + pick(string.digits, 3),
+                lambda: r.choice([str, str.title])(pick("etaoinshrdlu", r.randint(5, 12))) + r.choice(["", ".", ",", ";"]),
+                lambda: r.choice(["%s.%s", "%s_%s", "%s(%s)", "${%s_%s}", "<%s-%s>", "{{%s.%s}}", "$%s%s", "%s[%s]", "%s['%s", "%s::%s;", "%s.%s(),"]) % (r.choice(WORDS), r.choice([str, str.title])(r.choice(WORDS))),
             ][kind]()
-            name = r.choice(["password", "token", "api_key"]) if kind == 3 else r.choice(["sha256", "sha1", "md5", "commit", "checksum", "integrity", "revision", "uuid", "digest", "id", "etag", "build"]) if kind < 2 else r.choice(["see", "title", "id", "url", "version", "name", "order"])
+            name = r.choice(["password", "token", "api_key"]) if kind in (3, 7, 8) else r.choice(["sha256", "sha1", "md5", "commit", "checksum", "integrity", "revision", "uuid", "digest", "id", "etag", "build"]) if kind < 2 else r.choice(["see", "title", "id", "url", "version", "name", "order"])
             before = prose() + " " + name + r.choice([" = \"", ": ", " ", "=", ":"])
             path = r.choice(["tests/fixtures/data.json", "package.lock", "docs/guide.md", "src/app.py", "vendor/x.js", ""])
         out.append((value, before[-_NEAR:], r.choice(["\"", "", " " + prose()])[:_NEAR], path, secret))

@@ -292,6 +292,24 @@ def test_op8_keys_behind_names_and_paths(spark):
     assert [token in [t[b:e] for b, e, _ in secrets.candidates(t)] for t in (f"a={token}", f"NAME=x={token}", f"{token}=abc", token)] == [True, True, False, True]
 
 
+def test_op8_recall_end_to_end(spark):
+    forest = secrets.train(spark)
+    findings = secrets.labelled_findings(1000, seed=99)
+    df = spark.createDataFrame([(i, b + v + a) for i, (v, b, a, _, _) in enumerate(findings)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in secrets.scan(df, forest).where("is_secret").collect():
+        found[r["doc_id"]].append((r["begin"], r["end"]))
+    hit = [any(x <= len(b) and len(b) + len(v) <= y for x, y in found[i]) for i, (v, b, _, _, _) in enumerate(findings)]
+    truth = [bool(f[4]) for f in findings]
+    assert np.mean([h for h, t in zip(hit, truth) if t]) > 0.97
+    assert np.mean([i in found and bool(found[i]) for i, t in enumerate(truth) if not t]) < 0.03
+    plain = [("password: hunter2secret", "hunter2secret"), ("pwd=Sup3r!pass", "Sup3r!pass"), ("DB_PASSWORD=Tr0ub4dor!x", "Tr0ub4dor!x"), ("redis://:pa55word@host", "pa55word"), ("Authorization: Bearer abC123xyz9", "abC123xyz9")]
+    words = ["the password: required here", "api_key: string", "password = getpass.getpass()", "author: Johnson wrote", "see the password manager now"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in plain] + words)], "doc_id long, text string")
+    masked = [r["text"] for r in secrets.mask(df, forest).orderBy("doc_id").collect()]
+    assert masked == [t.replace(v, secrets.MASK) for t, v in plain] + words
+
+
 def test_op9_archives(spark):
     rows = [(1, "http://a/é x", "same"), (2, None, "same"), (3, "http://b", None), (4, "", ""), (5, "http://c\r\n", "é" * 200_000), (None, "n", "same"), (2, "again", "same"), (6, "u", "only")]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, path string, offset string")
