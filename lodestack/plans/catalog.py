@@ -90,7 +90,7 @@ def q10(s, d):
     l, p = t(s, d, "lineitem"), t(s, d, "part")
     category = t(s, d, "orders").where(search.matches(F.col("o_orderpriority"), "medium")).select(F.col("o_orderkey").alias("pack_id"))
     by = lambda c: search.packs_with(l, p, search.matches(F.col(c), "medium"))
-    return search.any_field({"category": category, "mods": by("p_name"), "types": by("p_type")})
+    return search.any_field({"category": category, "mods": by("p_name"), "tags": by("p_brand"), "types": by("p_type")})
 
 
 @query("q11_filter_category", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")

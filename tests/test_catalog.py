@@ -31,6 +31,14 @@ def in_order(rows):
     return sorted((tuple(map(plain, r)) for r in rows), key=repr)
 
 
+def test_q10_finds_packs_by_tag(spark, tmp_path):
+    spark.createDataFrame([(1, "4-LOW"), (2, "3-MEDIUM")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 7), (2, 8)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(7, "ring", "Medium#1", "PROMO"), (8, "ring", "Brand#1", "PROMO")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert in_order(QUERIES["q10_search_any_field"](spark, str(tmp_path)).collect()) == [(1, "tags"), (2, "category")]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_like_duckdb(spark, duck, name):
     got = QUERIES[name](spark, SF)
