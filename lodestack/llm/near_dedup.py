@@ -9,13 +9,14 @@ probability below (1 - 0.8 ** 4) ** 32 = 5e-8.
 Documents of one set are one class from the start (128-bit fingerprint of the set), so exact copies meet nobody. Within a key, classes do not meet in all pairs:
 
 1. Each class meets one centre of its key: at first the class with the smallest id, then, in a second round, one
-   chosen by hash, if it is not yet connected with it. Candidates pass the sketches' Jaccard estimate, corrected for chance agreement of
-   registers, and are then confirmed on full sets. Links give components.
+   chosen by hash, if it is not yet connected with it. Candidates pass a test of how many registers
+   of their sketches agree, and are then confirmed on full sets. Links give components.
 2. In keys whose classes still lie in several components, those outside the largest component meet all others, in blocks of
-   bounded size. In a block, a pair counts in its first common key only; it must pass the estimate; what remains is confirmed
+   bounded size. In a block, a pair counts in its first common key only; it must pass the sketches' test; what remains is confirmed
    on full sets, and each class reports one link per component. All that is written is in proportion to the rows read.
 
-No link between different sets is lost except by the bands' chance above and the estimate's margin (over four standard deviations).
+No link between different sets is lost except by the bands' chance above (for tiny sets up to about 1e-6: of four shingles against five, all
+must lie in the fifth's band) and the sketches' test, which drops a pair at the threshold with probability of at most ``LOSS``, by the exact binomial tail.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer words than a shingle are one shingle of all
 words; rows that share an id are one node; rows with a null id are linked with nothing, their component is null and they stay;
@@ -24,7 +25,9 @@ an empty table gives an empty table; other columns are kept by ``dedup``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from array import array
 
 import numpy as np
@@ -39,8 +42,8 @@ from .shared import discard, parallelism, ship, written
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // ROWS
 EMPTY = np.uint16(0xFFFF)
-#: How far below the threshold an estimate may be: this many standard deviations of a mean of as many registers.
-DEVIATIONS = 4.5
+#: Greatest chance that the sketches' test drops a pair at the threshold.
+LOSS = 1e-8
 BLOCK = 2048
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 _LIMIT = 800_000
@@ -115,9 +118,20 @@ def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def plausible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    j, n = estimated(a, b)
-    t = percent / 100
-    return j >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(n, 1))
+    used = (a != EMPTY) | (b != EMPTY)
+    return ((a == b) & used).sum(-1) >= least_agreeing(percent)[used.sum(-1)]
+
+
+@functools.cache
+def least_agreeing(percent: int) -> np.ndarray:
+    """By registers in use: how many agree at least, but for a chance of ``LOSS``, at the threshold; chance agreement only adds to them."""
+    p, out = percent / 100, []
+    for n in range(BUCKETS + 1):
+        k = tail = 0
+        while k < n and (tail := tail + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= LOSS:
+            k += 1
+        out.append(k)
+    return np.array(out)
 
 
 def confirmed(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

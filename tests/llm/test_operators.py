@@ -246,6 +246,19 @@ def test_op7_round_trip(spark, odd, empty):
     assert token_files.read(token_files.write(empty, path)).count() == 0
 
 
+def test_op5_sketches_drop_few_pairs():
+    from math import comb
+
+    for n in range(1, near_dedup.BUCKETS + 1):
+        a, b = np.full((2, n + 1, near_dedup.BUCKETS), near_dedup.EMPTY)
+        a[:, :n], b[:, :n] = 1, 2
+        for k in range(n + 1):
+            b[k, :k] = 1
+        kept = near_dedup.plausible(a, b, 80)
+        assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if not kept[k]) < 5e-8
+        assert n < 40 or not kept[n // 3]
+
+
 def test_op8_forest_and_mask(spark, odd, empty):
     forest = secrets.train(spark)
     x = [(secrets.features(v, b, a, p, secrets._rule_of(v)), y) for v, b, a, p, y in secrets.labelled_findings(1000, seed=99)]
