@@ -20,8 +20,9 @@ from array import array
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
-#: Not Latin, or (U+0130) of more characters in lower case.
-OTHER = re.compile("[^\\x00-\\u012f\\u0131-\\u024f]")
+#: Not Latin; and, where lower case is taken first, also what is not Latin or several characters then.
+OTHER = re.compile("[^\\x00-\\u024f]")
+OTHER_FOLDED = re.compile("[^\\x00-\\u024f]|[" + "".join(c for c in map(chr, range(0x250)) if len(c.lower()) > 1 or c.lower() > "\u024f") + "]")
 SPACED_WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
 #: The pattern of the byte-level vocabularies, and that of the vocabulary with word ends.
@@ -48,12 +49,13 @@ class PieceEncoder:
 
     def __init__(self, tokenizer, piece: re.Pattern, chunk: re.Pattern, fold: bool = False, limit: int = LIMIT):
         self._tokenizer, self._piece, self._chunk, self._fold, self._limit = tokenizer, piece, chunk, fold, limit
+        self._other = OTHER_FOLDED if fold else OTHER
         self._known: dict[str, bytes] = {}
 
     def _cut(self, text: str | None) -> tuple[list[str], bool]:
         if not text:
             return [], True
-        if OTHER.search(text):
+        if self._other.search(text):
             return self._chunk.findall(text), False
         return self._piece.findall(text.lower() if self._fold else text), True
 
