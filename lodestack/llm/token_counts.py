@@ -4,8 +4,8 @@ A unigram tokenizer cuts each word into vocabulary pieces so that the sum of the
 best score and the number of pieces up to each character. Aho-Corasick finds, in one pass, every vocabulary piece
 that ends at a character, the longest first; dynamic programming takes the best. The tie rule is that of the tokenizers library: of equal
 scores the piece that begins first stays, since a later one must be strictly better. A character that no piece
-covers alone may be an unknown one, scored ten below the worst piece, and counts one byte piece per UTF-8 byte
-(byte fallback). The pieces and scores are those of a public SentencePiece file; its scores are whole numbers, so sums are exact.
+covers alone may be an unknown one, scored ten below the worst piece. A run of unknown characters counts one byte piece per UTF-8 byte if the
+vocabulary has pieces for all these bytes (byte fallback), else it is one unknown token. The pieces and scores are those of a public SentencePiece file; its scores are whole numbers, so sums are exact.
 
 A text is cut before each space, which becomes U+2581, with one put in front of a text that does not begin with one, as the library's Metaspace does. Words repeat: each
 worker keeps a bounded table of counts by word, emptied when full.
@@ -16,6 +16,7 @@ columns stay and ``n_tokens`` of the input is replaced.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -48,17 +49,19 @@ class UnigramCounter:
             self._find.add_word(piece, (len(piece), score))
         self._find.make_automaton()
         self._unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self._bytes = frozenset(int(p[3:5], 16) for p, _ in pieces if re.fullmatch("<0x[0-9A-F]{2}>", p))
         self._known: dict[str, int] = {}
         self._limit = limit
 
     def word(self, word: str) -> int:
         """The number of pieces of the best cut of ``word``."""
         n = len(word)
-        score, count, single = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
+        score, count = [0.0] + [None] * n, [0] * (n + 1)
+        begun: list[int | None] = [None] * (n + 1)  # where the run of unknown characters begins that ends here
         found = self._find.iter(word)
         end, (length, s) = next(found, (n, (0, 0.0)))
         for i in range(n):
-            best, pieces = None, 0
+            best, pieces, run = None, 0, None
             alone = False
             while end == i:
                 if (before := score[i + 1 - length]) is not None and (best is None or before + s > best):
@@ -66,8 +69,10 @@ class UnigramCounter:
                 alone |= length == 1
                 end, (length, s) = next(found, (n, (0, 0.0)))
             if not alone and (best is None or score[i] + self._unknown > best):
-                best, pieces = score[i] + self._unknown, count[i] + len(word[i].encode())
-            score[i + 1], count[i + 1] = best, pieces
+                run = i if begun[i] is None else begun[i]
+                raw = word[run : i + 1].encode()
+                best, pieces = score[i] + self._unknown, count[run] + (len(raw) if self._bytes.issuperset(raw) else 1)
+            score[i + 1], count[i + 1], begun[i + 1] = best, pieces, run
         return count[n]
 
     def text(self, text: str | None) -> int:
@@ -94,7 +99,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         counter = chunks.once(("unigram", path), lambda: UnigramCounter(read_pieces(path)))
-        for b in batches:
+        for b in chunks.parts(batches):
             n = pa.array([counter.text(t) for t in b.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], names)
 
