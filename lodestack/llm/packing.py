@@ -10,7 +10,8 @@ all items have is dealt to many tasks. Only the table of counts and the steps, b
 
 Cases: a null or empty text still has its end id; longer documents are cut at the capacity, other ones never;
 repeated rows are packed as often as they come (rows alike in every key may trade places); an empty table packs to an empty table;
-a null ``doc_id`` is packed like any other; other columns are not carried along.
+a null ``doc_id`` is packed like any other; ``token_pieces`` carries no other columns along, ``pack`` carries all but those named
+as the ones it adds.
 """
 
 from __future__ import annotations
@@ -85,11 +86,14 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, i
 
 
 def pack(items: DataFrame, capacity: int, length: str = "length", keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to ``items``, whose ``length`` is from 1 to ``capacity``.
+    """Adds ``sequence_id`` and ``offset`` to ``items``, whose ``length`` is from 1 to ``capacity``; columns of these names are replaced.
 
     ``items`` is read twice: give a written table. ``keys`` order items of one length.
     """
     spark = items.sparkSession
+    if taken := [c for c in (length, *keys) if c.lower() in ("sequence_id", "offset")]:
+        raise ValueError(f"{taken} would be replaced")
+    items = items.drop(*[c for c in items.columns if c.lower() in ("sequence_id", "offset")])
     salts = 4 * parallelism(spark)
     salted = items.withColumn("__pack_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).withColumn("__pack_l", F.col(length).cast("long"))
     per_salt = salted.groupBy("__pack_l", "__pack_salt").agg(F.count("*").alias("__pack_n"))
@@ -126,7 +130,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, doc
 
     def run(batches):
         encoder = chunks.word_end(path)
-        for b in batches:
+        for b in chunks.parts(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in chunks.slices(texts):
                 rows = [
