@@ -1,9 +1,9 @@
 """Operator 7: token ids in Simple-8b files.
 
-Documents are dealt by ranges of their id, each task sorts its range and writes one file, named for
+Documents are dealt by ranges of their id, each task sorts its range and writes files of at most about ``FILE_IDS`` ids or ``FILE_DOCS`` documents, named for
 that attempt alone; a table written by Spark lists the files of the attempts that count, so a lost executor or a repeated task
 leaves nothing behind that is read. A file holds Simple-8b blocks of 1024 ids, then each block's first word, then the documents' ids and lengths, then a
-fixed trailer. Readers take a run of blocks at a time.
+fixed trailer, which tells how many of the documents, the first ones, have a null id. Readers take a run of blocks at a time; the bound on a file bounds its footer.
 
 Cases: a null or empty text is its end id alone; null ids come first; rows that share an id stand in the order of their
 texts' hashes, and rows alike in both in any order; very long documents span blocks and reads; an empty table writes no files and
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,14 @@ from . import chunks, simple8b
 from .files import located, opened_for_reading, opened_for_writing
 from .shared import parallelism, scratch, ship, written
 
-#: Fixed values of the file format: magic at both ends; trailer of ids, blocks, documents, block size and the footer's place.
-MAGIC = b"S8BTOK01"
-TRAILER = struct.Struct("<QQQQQ8s")
-NO_ID = -(2**63)
+#: Fixed values of the file format: magic at both ends; trailer of ids, blocks, documents, those of them with a null id, block size and the footer's place.
+MAGIC = b"S8BTOK02"
+TRAILER = struct.Struct("<QQQQQQ8s")
 
 FLUSH = 512 * simple8b.BLOCK
-MANIFEST = "part int, path string, n_docs long, n_ids long"
+#: A file ends behind the document with which it has so many ids or documents.
+FILE_IDS, FILE_DOCS = 64 << 20, 1 << 20
+MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 
 
 class TokenFileWriter:
@@ -39,12 +41,19 @@ class TokenFileWriter:
         self._out, self._rest, self._words, self.n_ids = out, [], 0, 0
         self._waiting = 0
         self._offsets: list[np.ndarray] = []
-        self.doc_ids: list[int] = []
-        self._lengths: list[int] = []
+        self.doc_ids, self._lengths, self._without_id = array("q"), array("q"), 0
         out.write(MAGIC)
 
+    @property
+    def full(self) -> bool:
+        return self.n_ids + self._waiting >= FILE_IDS or len(self.doc_ids) >= FILE_DOCS
+
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.doc_ids.append(NO_ID if doc_id is None else doc_id)
+        """Documents with a null id come before all others."""
+        if doc_id is None and self._without_id < len(self.doc_ids):
+            raise ValueError("a null id behind others")
+        self._without_id += doc_id is None
+        self.doc_ids.append(doc_id or 0)
         self._lengths.append(len(ids) // 4)
         self._rest.append(ids)
         self._waiting += len(ids) // 4
@@ -66,20 +75,20 @@ class TokenFileWriter:
         offsets = np.concatenate([*self._offsets, [self._words]])
         for a in (offsets, self.doc_ids, self._lengths):
             self._out.write(np.asarray(a, "<i8").tobytes())
-        self._out.write(TRAILER.pack(self.n_ids, len(offsets) - 1, len(self.doc_ids), simple8b.BLOCK, len(MAGIC) + 8 * self._words, MAGIC))
+        self._out.write(TRAILER.pack(self.n_ids, len(offsets) - 1, len(self.doc_ids), self._without_id, simple8b.BLOCK, len(MAGIC) + 8 * self._words, MAGIC))
 
 
 def read_documents(f, size: int):
     """(doc_id, ids) of each document of a token file, in order; ``f`` is open for random reads."""
     f.seek(size - TRAILER.size)
-    n_ids, n_blocks, n_docs, block, footer, magic = TRAILER.unpack(f.read(TRAILER.size))
+    n_ids, n_blocks, n_docs, without_id, block, footer, magic = TRAILER.unpack(f.read(TRAILER.size))
     if magic != MAGIC:
         raise ValueError("not a token file")
     f.seek(footer)
     index = np.frombuffer(f.read(8 * (n_blocks + 1 + 2 * n_docs)), "<i8")
     offsets, doc_ids, lengths = np.split(index, [n_blocks + 1, n_blocks + 1 + n_docs])
     block_at, have, held = 0, 0, []
-    for doc_id, length in zip(doc_ids.tolist(), lengths.tolist()):
+    for i, (doc_id, length) in enumerate(zip(doc_ids, lengths)):
         while have < length:
             to = min(block_at + FLUSH // block, n_blocks)
             f.seek(len(MAGIC) + 8 * int(offsets[block_at]))
@@ -89,44 +98,54 @@ def read_documents(f, size: int):
             have, block_at = have + n, to
         if len(held) > 1:
             held = [np.concatenate(held)]
-        yield None if doc_id == NO_ID else doc_id, held[0][:length].tobytes() if held else b""
+        yield None if i < without_id else int(doc_id), held[0][:length].tobytes() if held else b""
         if held:
             held, have = [held[0][length:]], have - length
 
 
 def write(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """Writes the files and returns their table (part, path, n_docs, n_ids); ``path`` a byte-level vocabulary."""
+    """Writes the files and returns their table (part, file, path, n_docs, n_ids); ``path`` a byte-level vocabulary."""
     spark = docs.sparkSession
     ship(spark)
     folder = located(spark, folder or scratch(spark, "token-files"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, writer, out, name = chunks.byte_level(path), None, None, None
-        for b in batches:
+        encoder, writer, out, name, file = chunks.byte_level(path), None, None, None, 0
+
+        def closed():
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)]), pa.array([writer.n_ids])], ["part", "file", "path", "n_docs", "n_ids"]
+            )
+
+        for b in chunks.parts(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in chunks.slices(texts):
                 for d, x in zip(ids[i:j], encoder.encode(texts[i:j])):
                     if writer is None:
                         part = TaskContext.get().partitionId()
-                        name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.s8b"
+                        name = f"{folder}/part-{part:06d}-{file:06d}-{uuid.uuid4().hex}.s8b"
                         out = opened_for_writing(name)
                         writer = TokenFileWriter(out)
                     writer.add(d, x + end)
+                    if writer.full:
+                        yield closed()
+                        writer, file = None, file + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)]), pa.array([writer.n_ids])], ["part", "path", "n_docs", "n_ids"])
+            yield closed()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(parallelism(spark), "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    # without a number the parts follow the data's size; joined ones stay in order
+    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     return written(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, ids) from the files; ``start`` counts the ids of all documents before."""
     ship(manifest.sparkSession)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "start")
 
     def run(batches):
