@@ -1,16 +1,17 @@
 """Operator 4: toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-The kernel of two words is the gap-weighted subsequence kernel of three characters: every common subsequence counts, less for each
-character that it spans, so an insult with inserted characters or gaps still resembles the insult. It is scaled to 1 for a word with itself; what lies below
+The kernel of two words is the gap-weighted subsequence kernel of three characters, with the word's begin as a character of its own: every common subsequence
+counts, less for each character that it spans. Letters and digits that are spanned cost ``DECAY`` each, other characters only ``LOOSE``, and those are never matched, so
+an insult with inserted characters (id-iot, i--d--i--o--t, idxiot) still resembles the insult. The kernel is scaled to 1 for a word with itself; what lies below
 ``CUT`` counts as 0. A sentence resembles a landmark as much as its most similar word does.
 
-Landmarks are the words whose presence goes most with the label in distinct labelled sentences. Nyström's map
+Landmarks are the words whose presence goes most with the label in distinct labelled sentences, those left out that resemble a better one. Nyström's map
 (the inverse root of the landmarks' kernel matrix) makes sentences vectors, on which a squared-hinge SVM is trained, each sentence
-labelled as its document. A document scores as its worst sentence, turned to 0 to 1 by a logistic fit on the training documents.
+labelled as its document. A document is scored by a logistic fit, on the training documents, of its worst sentence, the sum over its similar words, and its number of words.
 
 Training reads at most ``TRAIN_DOCUMENTS`` labelled documents (the least by hash of the id), so what the driver holds is bounded; scoring reads every whole
-text, with similarities of each distinct word computed once per worker (a bounded table). Runs of single characters ("a b c") are read as one word
-too; words of over ``LONGEST`` characters are read in overlapping windows.
+text, with similarities of each distinct word computed once per worker (a bounded table). Runs of single characters ("a b c") and words with
+stops inside ("a.b.c") are read as one word too; words of over ``LONGEST`` characters are read in overlapping windows.
 
 Cases: null and empty texts score as a text without any similar word; without usable labels of both kinds every score is 0; null labels are left out, of several
 labels of a document the largest counts; repeated rows score alike; very long texts are read whole; an empty table gives an empty table; other columns stay, and
@@ -31,16 +32,19 @@ from pyspark.sql.types import StructType
 from . import chunks
 from .shared import ship, written
 
-DECAY, ORDER, CUT, LONGEST = 0.6, 3, 0.3, 32
+DECAY, LOOSE, ORDER, CUT, LONGEST = 0.6, 0.95, 3, 0.3, 32
 TRAIN_DOCUMENTS = 12_000
-#: Landmarks: at most so many words, in at least SUPPORT sentences of toxic documents, LEAST_EXCESS deviations above chance.
-LANDMARKS, SUPPORT, LEAST_EXCESS = 40, 4, 8.0
+#: Landmarks: at most so many words, none resembling another by ALIKE, in at least SUPPORT sentences of toxic documents, LEAST_EXCESS deviations above
+#: chance, out of the CONSIDERED ones with the largest excess.
+LANDMARKS, ALIKE, SUPPORT, LEAST_EXCESS, CONSIDERED = 40, 0.7, 4, 8.0, 1000
 COST = 1.0
 _LIMIT = 500_000
 _SENTENCE = re.compile(r"[.!?\n]+")
-_STOPS = str.maketrans(".!?", "   ")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_STOPPED = re.compile(r"[^\s.!?]+(?:[.!?]+[^\s.!?]+)+")
 _EDGE = ".,;:!?\"'()[]{}<>*_-#%&$~|/\\"
+#: Stands before a word's first character.
+_BEGIN = "\x02"
 
 
 def sentence_words(sentence: str) -> list[str]:
@@ -53,9 +57,55 @@ def spaced_words(lower: str) -> list[str]:
     return ["".join(m.split()) for m in _SPACED.findall(lower)]
 
 
-def pairs(word: str) -> set[tuple[str, str]]:
+def joined_words(lower: str, tokens: list[str]) -> list[str]:
+    """Runs of single characters and words with stops inside; ``tokens`` are the text's words with stops as spaces."""
+    out = _STOPPED.findall(lower)
+    if sum(map((1).__eq__, map(len, tokens))) > 2:
+        out += spaced_words(" ".join(tokens))
+    return out
+
+
+def letters_of(word: str) -> str:
+    return _BEGIN + (word if word.isalnum() else "".join(filter(str.isalnum, word)))
+
+
+def pairs(letters: str) -> set[tuple[str, str]]:
     """Ordered pairs of characters with at most two others between them."""
-    return {*zip(word, word[1:]), *zip(word, word[2:]), *zip(word, word[3:])}
+    return {*zip(letters, letters[1:]), *zip(letters, letters[2:]), *zip(letters, letters[3:])}
+
+
+def _codes(words: tuple[str, ...]) -> np.ndarray:
+    return np.array([[ord(c) for c in w] for w in words], np.int32)
+
+
+def _spread(n: int) -> np.ndarray:
+    """[j, k]: what a match at letter j is worth at letter k behind it."""
+    gap = np.arange(n)[None, :] - np.arange(n)[:, None]
+    return np.where(gap > 0, DECAY ** np.maximum(gap - 1, 0), 0.0)
+
+
+def raw_kernels(codes: np.ndarray, decays: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Unscaled kernels of the words in the rows of ``codes`` (negative: never matched), whose characters cost ``decays`` to span, with the letters in ``other``."""
+    n, m = codes.shape[1], other.shape[1]
+    spread, prefix = _spread(m), [np.ones((len(codes), m))] + [np.zeros((len(codes), m)) for _ in range(ORDER - 1)]
+    total = np.zeros(len(codes))
+    for i in range(n):
+        match = codes[:, i, None] == other
+        total += DECAY**2 * (match * prefix[ORDER - 1]).sum(-1)
+        for p in range(ORDER - 1, 0, -1):
+            prefix[p] = decays[:, i, None] * prefix[p] + DECAY**2 * ((match * prefix[p - 1]) @ spread)
+    return total
+
+
+def self_kernels(words: list[str]) -> np.ndarray:
+    """The kernel of each word's letters with themselves."""
+    out, by_length = np.zeros(len(words)), {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for at in by_length.values():
+        codes = _codes(tuple(words[i] for i in at))
+        out[at] = raw_kernels(codes, np.full(codes.shape, DECAY), codes)
+    return out
 
 
 class WordKernel:
@@ -63,83 +113,77 @@ class WordKernel:
 
     def __init__(self, landmarks: tuple[str, ...]):
         self.landmarks = landmarks
-        m = max(map(len, landmarks))
+        letters = [letters_of(w) for w in landmarks]
+        m = max(map(len, letters))
         self._codes = np.full((len(landmarks), m), -1, np.int32)
-        for i, w in enumerate(landmarks):
+        for i, w in enumerate(letters):
             self._codes[i, : len(w)] = [ord(c) for c in w]
-        gap = np.arange(m)[None, :] - np.arange(m)[:, None]
-        #: [j, k]: what a match at character j is worth at character k behind it.
-        self._spread = np.where(gap > 0, DECAY ** np.maximum(gap - 1, 0), 0.0)
         #: Adjacent characters of landmarks; a similar word has some of them, with others between them at most.
         #: As bits: which landmarks have the pair.
         self._having: dict[tuple[str, str], int] = {}
-        for i, w in enumerate(landmarks):
+        for i, w in enumerate(letters):
             for p in set(zip(w, w[1:])):
                 self._having[p] = self._having.get(p, 0) | 1 << i
-        self._own = np.array([_self_kernels((w,))[0] for w in landmarks])
-        self._table: dict[str, np.ndarray | None] = {}
-
-    def _raw(self, words: tuple[str, ...], to: np.ndarray) -> np.ndarray:
-        """Unscaled kernels of words, all of one length, with one landmark each."""
-        n, m = len(words[0]), self._codes.shape[1]
-        codes, other = np.array([[ord(c) for c in w] for w in words], np.int32), self._codes[to]
-        prefix = [np.ones((len(words), m))] + [np.zeros((len(words), m)) for _ in range(ORDER - 1)]
-        total = np.zeros(len(words))
-        for i in range(n):
-            match = codes[:, i, None] == other
-            total += DECAY**2 * (match * prefix[ORDER - 1]).sum(-1)
-            for p in range(ORDER - 1, 0, -1):
-                prefix[p] = DECAY * prefix[p] + DECAY**2 * ((match * prefix[p - 1]) @ self._spread)
-        return total
-
-    def similarities(self, words: list[str]) -> dict[int, np.ndarray]:
+        self._own = self_kernels(letters)
+        self._seen: set[str] = set()
+        self._similar: dict[str, np.ndarray] = {}
+        self._words: set[str] = set()
+
+    def similarities(self, words: list[str], sieve: bool = True) -> dict[int, np.ndarray]:
         """By index of the word, its scaled kernels with all landmarks, where any is not below the cut.
 
-        A pair is worked out if at least two of the landmark's pairs of adjacent characters stand in the word in order; a
-        long word is as similar as its most similar window."""
-        by_length: dict[int, list[tuple[int, str, int]]] = {}
+        With ``sieve``, a pair is worked out if at least two of the landmark's pairs of adjacent letters stand in the word in order; others lie
+        below the cut. A long word is as similar as its most similar window."""
+        by_length: dict[int, list[tuple[int, str, str, int]]] = {}
         having = self._having.keys()
         for i, w in enumerate(words):
             for k in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2) if len(w) > LONGEST else (0,):
                 part = w[k : k + LONGEST]
-                if len(part) < ORDER:
+                letters = letters_of(part)
+                if len(letters) < ORDER:
                     continue
-                once_met = twice_met = 0
-                for p in pairs(part) & having:
+                once_met, twice_met = 0, (0 if sieve else (1 << len(self.landmarks)) - 1)
+                for p in pairs(letters) & having if sieve else ():
                     twice_met |= once_met & self._having[p]
                     once_met |= self._having[p]
                 while twice_met:
                     low = twice_met & -twice_met
-                    by_length.setdefault(len(part), []).append((i, part, low.bit_length() - 1))
+                    by_length.setdefault(len(part), []).append((i, part, letters, low.bit_length() - 1))
                     twice_met ^= low
         out: dict[int, np.ndarray] = {}
         for rows in by_length.values():
             for k in range(0, len(rows), 4096):
-                at, some, to = zip(*rows[k : k + 4096])
+                at, some, letters, to = zip(*rows[k : k + 4096])
                 to = np.array(to)
-                s = self._raw(some, to) / np.sqrt(np.maximum(_self_kernels(some) * self._own[to], 1e-12))
+                different = {w: n for n, w in enumerate(dict.fromkeys(letters))}
+                own = self_kernels(list(different))[[different[w] for w in letters]]
+                solid = np.array([[True, *map(str.isalnum, w)] for w in some])
+                codes = np.where(solid, _codes(tuple(_BEGIN + w for w in some)), -2)
+                s = raw_kernels(codes, np.where(solid, DECAY, LOOSE), self._codes[to]) / np.sqrt(np.maximum(own * self._own[to], 1e-12))
                 for r in np.flatnonzero(s >= CUT):
                     f = out.setdefault(at[r], np.zeros(len(self.landmarks), np.float32))
                     f[to[r]] = max(f[to[r]], s[r])
         return out
 
-    def near_words(self, words_of: list) -> list[dict[str, np.ndarray]]:
-        """For each collection of words those that are similar to a landmark, with their similarities."""
-        table = self._table
-        missing = set().union(*words_of).difference(table)
+    def near_words(self, words_of: list[set[str]]) -> list[dict[str, np.ndarray]]:
+        """For each set of words those that are similar to a landmark, with their similarities."""
+        missing = set().union(*words_of).difference(self._seen)
         if missing:
-            if len(table) + len(missing) > _LIMIT:
-                table.clear()
+            if len(self._seen) + len(missing) > _LIMIT:
+                self._seen.clear()
+                self._similar.clear()
+                self._words.clear()
                 missing = set().union(*words_of)
             missing = list(missing)
             found = self.similarities([w.strip(_EDGE) for w in missing])
-            table.update(dict.fromkeys(missing))
-            table.update((missing[i], f) for i, f in found.items())
-        return [{w: f for w in words if (f := table[w]) is not None} for words in words_of]
+            self._seen.update(missing)
+            self._similar.update((missing[i], f) for i, f in found.items())
+            self._words.update(missing[i] for i in found)
+        return [{w: self._similar[w] for w in words & self._words} for words in words_of]
 
     def near(self, words_of: list) -> list[np.ndarray | None]:
         """For each collection of words the largest similarity to each landmark; None if all are 0."""
-        return [np.max(list(rows.values()), axis=0) if rows else None for rows in self.near_words(words_of)]
+        return [np.max(list(rows.values()), axis=0) if rows else None for rows in self.near_words([set(w) for w in words_of])]
 
 
 def _kernel(landmarks: list[str]) -> WordKernel:
@@ -147,20 +191,14 @@ def _kernel(landmarks: list[str]) -> WordKernel:
     return chunks.once(("kernel", *landmarks), lambda: WordKernel(tuple(landmarks)))
 
 
-def _self_kernels(words: tuple[str, ...]) -> np.ndarray:
-    """Each word's kernel with itself; words of one length."""
-    codes = np.array([[ord(c) for c in w] for w in words], np.int32)
-    n = codes.shape[1]
-    gap = np.arange(n)[None, :] - np.arange(n)[:, None]
-    spread = np.where(gap > 0, DECAY ** np.maximum(gap - 1, 0), 0.0)
-    prefix = [np.ones((len(words), n))] + [np.zeros((len(words), n)) for _ in range(ORDER - 1)]
-    total = np.zeros(len(words))
-    for i in range(n):
-        match = codes[:, i, None] == codes
-        total += DECAY**2 * (match * prefix[ORDER - 1]).sum(-1)
-        for p in range(ORDER - 1, 0, -1):
-            prefix[p] = DECAY * prefix[p] + DECAY**2 * ((match * prefix[p - 1]) @ spread)
-    return total
+def unlike(words: list[str], most: int) -> list[str]:
+    """The first ``most`` of ``words`` that resemble none taken before."""
+    kernel, out = WordKernel(tuple(words)), []
+    near = kernel.similarities(words)
+    for i in range(len(words)):
+        if len(out) < most and i in near and all(near[i][j] < ALIKE for j in out):
+            out.append(i)
+    return [words[i] for i in out]
 
 
 @dataclass
@@ -168,28 +206,31 @@ class ToxicityModel:
     landmarks: list[str]
     weights: np.ndarray  # of the similarities: Nyström's map times the SVM's weights
     bias: float
-    slope: float
-    shift: float
+    fit: np.ndarray  # of a document's traits and, last, of 1
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's largest margin over its sentences; a run of single characters, wherever it stands, is one of its own."""
+    def traits(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's largest margin over its sentences (a joined word, wherever it stands, is a sentence of its own), the sum of its
+        similar words' margins above the bias, and its number of distinct words; the latter two as logarithms."""
         kernel = _kernel(self.landmarks)
         lower = [(t or "").lower() for t in texts]
-        flat = [t.translate(_STOPS) for t in lower]
-        words = [set(t.split()) for t in flat]
-        runs = [spaced_words(t) for t in flat]
-        out = np.full(len(texts), self.bias)
-        for i, (near, run) in enumerate(zip(kernel.near_words(words), kernel.near_words(runs))):
-            found = list(run.values())
-            for s in _SENTENCE.split(lower[i]) if near else ():
-                if rows := [near[w] for w in s.split() if w in near]:
-                    found.append(np.max(rows, axis=0))
-            if found:
-                out[i] = max(self.bias, float((np.stack(found) @ self.weights).max()) + self.bias)
+        tokens = [t.replace(".", " ").replace("!", " ").replace("?", " ").split() for t in lower]
+        words, joined = [set(t) for t in tokens], [set(joined_words(t, w)) for t, w in zip(lower, tokens)]
+        out = np.zeros((len(texts), 3))
+        out[:, 0] = self.bias
+        for i, (near, more) in enumerate(zip(kernel.near_words(words), kernel.near_words(joined))):
+            out[i, 2] = np.log1p(len(words[i]))
+            if near or more:
+                found = list(more.values())
+                for s in _SENTENCE.split(lower[i]) if near else ():
+                    if rows := [near[w] for w in near.keys() & s.split()]:
+                        found.append(np.max(rows, axis=0))
+                each = np.stack([*near.values(), *more.values()]) @ self.weights
+                out[i, 0] = max(self.bias, float((np.stack(found) @ self.weights).max()) + self.bias if found else self.bias)
+                out[i, 1] = np.log1p(np.maximum(each, 0).sum())
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.traits(texts) @ self.fit[:-1] + self.fit[-1], -30, 30)))
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 50) -> np.ndarray:
@@ -207,17 +248,18 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: i
     return w
 
 
-def logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and shift of a logistic fit of y (0 or 1) on m, by Newton steps with a little ridge."""
-    x, w = np.column_stack([m, np.ones_like(m)]), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weights, the last of 1, of a logistic fit of y (0 or 1) on the columns of x, by Newton steps with a little ridge."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-3 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def held_out(doc_id: Column) -> Column:
@@ -249,11 +291,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     per_word = distinct.select(F.explode("words").alias("w"), "y").groupBy("w").agg(F.sum("y").alias("pos"), F.count("*").alias("all"))
     expected = F.col("all") * (n1 / n)
     excess = (F.col("pos") - expected) / F.sqrt(expected)
-    fits = F.length("w").between(ORDER, LONGEST)
+    fits = F.length("w").between(ORDER, LONGEST) & F.col("w").rlike(r"^[\p{L}\p{N}]+$")
     top = per_word.where(fits & (F.col("pos") >= SUPPORT)).select("w", F.round(excess, 6).alias("z")).where(F.col("z") >= LEAST_EXCESS)
-    landmarks = [r[0] for r in top.orderBy(F.desc("z"), "w").limit(LANDMARKS).collect()]
+    landmarks = [r[0] for r in top.orderBy(F.desc("z"), "w").limit(CONSIDERED).collect()]
     if not landmarks:
         return None
+    landmarks = unlike(landmarks, LANDMARKS)
     near = WordKernel(tuple(landmarks)).similarities(landmarks)
     gram = np.stack([near[i] for i in range(len(landmarks))]).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -268,14 +311,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     x = np.stack([np.frombuffer(f, np.float32) if f else np.zeros(len(landmarks), np.float32) for f in table["f"].to_pylist()]).astype(float)
     y, weight = np.where(table["y"].to_numpy() > 0, 1.0, -1.0), table["count"].to_numpy().astype(float)
     w = svm(np.column_stack([x @ root, np.ones(len(x))]), y, weight, COST)
-    model = ToxicityModel(landmarks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
+    model = ToxicityModel(landmarks, root @ w[:-1], float(w[-1]), np.zeros(4))
 
     def judged(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.round(model.margins(b.column(0).to_pylist()), 2)), b.column(1)], ["m", "y"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, model.traits(b.column(0).to_pylist()).T), b.column(1)], ["worst", "sum", "words", "y"])
 
-    fit = sample.mapInArrow(judged, "m double, y int").groupBy("m", "y").count().toArrow()
-    model.slope, model.shift = logistic(fit["m"].to_numpy(), fit["y"].to_numpy().astype(float), fit["count"].to_numpy().astype(float))
+    fit = sample.mapInArrow(judged, "worst double, sum double, words double, y int").orderBy("worst", "sum", "words", "y").toArrow()  # the bounded sample's documents
+    model.fit = logistic(np.column_stack([fit[c].to_numpy() for c in ("worst", "sum", "words")]), fit["y"].to_numpy().astype(float))
     return model
 
 
