@@ -9,11 +9,13 @@ probability below (1 - 0.8 ** 4) ** 32 = 5e-8.
 Documents of one set are one class from the start (128-bit fingerprint of the set), so exact copies meet nobody. Within a key, classes do not meet in all pairs:
 
 1. Each class meets one centre of its key: at first the class with the smallest id, then, in a second round, one
-   chosen by hash, if it is not yet connected with it. Candidates pass a test of how many registers
-   of their sketches agree, and are then confirmed on full sets. Links give components.
-2. In keys whose classes still lie in several components, those outside the largest component meet all others, in blocks of
+   chosen by hash, if it is not yet connected with it. Candidates' set sizes must allow the similarity, they pass a test of how many registers
+   of their sketches agree, and are then confirmed on full sets. Links give components. A centre has then met all its key and leaves it, so
+   a key of two classes ends with the first round, one of three with the second.
+2. In keys whose other classes still lie in several components, those outside the largest component meet all others, in blocks of
    bounded size. In a block, a pair counts in its first common key only; it must pass the sketches' test; what remains is confirmed
-   on full sets, and each class reports one link per component. All that is written is in proportion to the rows read.
+   on full sets, and each class reports one link per component. A key's classes are sent once per block of askers, and askers once per block
+   of listeners.
 
 No link between different sets is lost except by the bands' chance above (for tiny sets up to about 1e-6: of four shingles against five, all
 must lie in the fifth's band) and the sketches' test, which drops a pair at the threshold with probability of at most ``LOSS``, by the exact binomial tail.
@@ -32,19 +34,19 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks
 from .components import components
-from .shared import discard, parallelism, ship, written
+from .shared import discard, ship, written
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // ROWS
 EMPTY = np.uint16(0xFFFF)
 #: Greatest chance that the sketches' test drops a pair at the threshold.
 LOSS = 1e-8
-BLOCK = 2048
+BLOCK = 512
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 _LIMIT = 800_000
 
@@ -175,13 +177,16 @@ def _bands(classes: DataFrame) -> DataFrame:
         for b in batches:
             keys = band_keys(_registers(b.column(1))) if len(b) else np.zeros((0, BANDS), np.uint64)
             i, j = np.nonzero(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy(zero_copy_only=False)[i]), pa.array(keys[i, j].view(np.int64))], ["u", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(keys[i, j].view(np.int64))], ["u", "key"])
 
     return classes.select("u", "sketch").mapInArrow(run, "u long, key long")
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sketches allow the similarity."""
+    """The pairs (u, v) whose set sizes and sketches allow the similarity."""
+    sizes = classes.select("u", "size")
+    sized = pairs.join(sizes, "u").join(sizes.withColumnsRenamed({"u": "v", "size": "other"}), "v")
+    pairs = sized.where(F.least("size", "other") * 100 >= F.greatest("size", "other") * percent).select("u", "v")
     side = classes.select("u", "sketch")
     rows = pairs.join(side, "u").join(side.select(F.col("u").alias("v"), F.col("sketch").alias("other")), "v")
 
@@ -195,16 +200,19 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity."""
-    rows = pairs.join(texts, "u").join(texts.select(F.col("u").alias("v"), F.col("text").alias("other")), "v")
+    # only the texts that some pair needs are dealt; where the pairs are few, Spark sends them to the texts
+    one = texts.join(pairs.select("u").distinct(), "u", "left_semi")
+    two = texts.withColumnsRenamed({"u": "v", "text": "other"}).join(pairs.select("v").distinct(), "v", "left_semi")
+    rows = pairs.join(one, "u").join(two, "v")
 
     def run(batches):
         shingles = chunks.once(("shingles", words), lambda: Shingler(words))
         held = (None, None)
         for b in chunks.parts(batches):
             keep = []
-            for v, t, o in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                if held[0] is None or held[0] != (v, len(o)):
-                    held = ((v, len(o)), shingles(o))
+            for t, o in zip(*(b.column(i).to_pylist() for i in (2, 3))):
+                if held[0] != o:
+                    held = (o, shingles(o))
                 keep.append(confirmed(shingles(t), held[1], percent))
             yield b.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
@@ -212,33 +220,35 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def _split_keys(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, u, c, others): the bands whose classes lie in several components; ``others`` is true outside the key's largest one."""
+    """(key, u, c, other, rows, others): the bands whose classes lie in several components; ``other`` is true outside the key's largest one,
+    ``rows`` and ``others`` count the key's classes and those outside."""
     labelled = bands.join(labels.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
     per = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
-    split = per.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("rows")).where("parts > 1")
-    return labelled.join(split.select("key", "main", "rows"), "key").select("key", "u", "c", "rows", (F.col("c") != F.col("main")).alias("other"))
+    split = per.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("rows"), F.max("n").alias("most")).where("parts > 1")
+    split = split.select("key", "main", "rows", (F.col("rows") - F.col("most")).alias("others"))
+    return labelled.join(split, "key").select("key", "u", "c", "rows", "others", (F.col("c") != F.col("main")).alias("other"))
 
 
 def _rest(split: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components in keys that still hold several, each class of a smaller component against all others, in blocks."""
-    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("u"), parts).cast("int")
-    every = F.explode(F.sequence(F.lit(0), parts - 1))
-    asked = split.where("other").select("key", "u", "c", own.alias("i"), every.alias("j"), F.lit(True).alias("asks"))
-    heard = split.withColumn("j", own).select("key", "u", "c", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), "j", F.lit(False).alias("asks"))
-    # a chunk of a key in which nobody asks needs no listeners
-    heard = heard.join(asked.select("key", "i").distinct(), ["key", "i"], "left_semi")
+    """Links between components in keys that still hold several, each class of a smaller component against all others, in blocks.
+
+    Those that ask are dealt into i, all classes as listeners into j: a key whose classes are nearly all of one component is sent about once."""
+    asking, hearing = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("others", "rows"))
+    place = lambda parts: F.pmod(F.xxhash64("u"), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    asked = split.where("other").select("key", "u", "c", place(asking).alias("i"), every(hearing).alias("j"), F.lit(True).alias("asks"))
+    heard = split.select("key", "u", "c", every(asking).alias("i"), place(hearing).alias("j"), F.lit(False).alias("asks"))
     blocks = asked.unionByName(heard)
-    with_sketch = blocks.join(classes.select("u", "sketch"), "u")
+    with_sketch = blocks.join(classes.select("u", "size", "sketch"), "u")
 
     def meet(t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy(zero_copy_only=False)
-        u, c, s = t["u"].to_numpy(), t["c"].to_numpy(), _registers(t["sketch"].combine_chunks())
+        u, c, n, s = t["u"].to_numpy(), t["c"].to_numpy(), t["size"].to_numpy(), _registers(t["sketch"].combine_chunks())
         keys, key = band_keys(s), np.int64(t["key"][0].as_py()).astype(np.uint64)
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         seen = np.zeros(len(u), bool)
         for x in a:
-            y = b[c[b] != c[x]]
+            y = b[(c[b] != c[x]) & (np.minimum(n[b], n[x]) * 100 >= np.maximum(n[b], n[x]) * percent)]
             same = keys[y] == keys[x]
             same &= keys[x] != 0
             y = y[keys[x][np.argmax(same, axis=1)] == key] if len(y) else y
@@ -267,7 +277,7 @@ def _rest(split: DataFrame, classes: DataFrame, texts: DataFrame, words: int, pe
         a, b = zip(*out) if out else ((), ())
         return pa.table({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
 
-    rows = met.join(texts, "u").join(classes.select("u", "sketch"), "u")
+    rows = met.join(texts.join(met.select("u").distinct(), "u", "left_semi"), "u").join(classes.select("u", "sketch"), "u")
     return rows.groupBy("key", "i", "j").applyInArrow(link, "u long, v long")
 
 
@@ -276,29 +286,38 @@ def classify(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     spark = docs.sparkSession
     rows = written(sketches(docs, words, doc_id, text), "sketches")
     usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(usable.groupBy("f1", "f2", "sketch").agg(F.min("doc_id").alias("u")), "classes")
+    classes = written(usable.groupBy("f1", "f2", "sketch").agg(F.min("doc_id").alias("u"), F.first("n_shingles").alias("size")), "classes")
     bands = _bands(classes)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("first"), F.max("u").alias("last")).where("first <> last")
-    bands = written(bands.join(shared.select("key", "first"), "key"), "bands")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("first")).where("n > 1")
+    bands = written(bands.join(shared, "key"), "bands")
     texts = docs.select(F.col(doc_id).cast("long").alias("u"), F.col(text).alias("text")).join(bands.select("u").distinct(), "u", "left_semi")
     texts = written(texts, "texts")
 
     pairs = bands.where("u <> first").select("u", F.col("first").alias("v")).distinct()
-    links = written(_confirm(written(_candidates(pairs, classes, percent), "pairs"), texts, words, percent), "links")
+    likely = written(_candidates(pairs, classes, percent), "pairs")
+    links = written(_confirm(likely, texts, words, percent), "links")
+    discard(likely)
     same = _several(usable)
     links = links.unionByName(same)
     labels = components(links)
 
-    split = written(_split_keys(bands.select("key", "u"), labels), "split")
+    unmet = bands.where("n > 2 AND u <> first").select("key", "u")
+    split = written(_split_keys(unmet, labels), "split")
+    discard(bands)
     centre = split.groupBy("key").agg(F.min_by(F.struct("u", "c"), F.xxhash64("key", "u")).alias("m"))
-    pairs = split.join(centre, "key").where("c <> m.c").select("u", F.col("m.u").alias("v")).distinct()
-    more = written(_confirm(written(_candidates(pairs, classes, percent), "pairs"), texts, words, percent), "links")
-    discard(split)
+    centred = split.join(centre, "key").where(F.col("u") != F.col("m.u"))
+    pairs = centred.where("c <> m.c").select("u", F.col("m.u").alias("v")).distinct()
+    likely = written(_candidates(pairs, classes, percent), "pairs")
+    more = written(_confirm(likely, texts, words, percent), "links")
+    discard(likely)
     links = links.unionByName(more)
     labels = components(links)
 
-    split = written(_split_keys(bands.select("key", "u"), labels), "split")
+    last, split = split, written(_split_keys(centred.where("rows > 2").select("key", "u"), labels), "split")
+    discard(last)
     rest = written(_rest(split, classes, texts, words, percent), "links")
+    discard(split)
+    discard(texts)
     labels = components(links.unionByName(rest)) if rest.limit(1).count() else labels
 
     named = classes.select("f1", "f2", "u").groupBy("f1", "f2").agg(F.min("u").alias("u"))
