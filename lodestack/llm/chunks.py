@@ -31,7 +31,8 @@ BYTE_PIECE = re.compile(
 )
 WORD_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
-LIMIT = 800_000
+#: Bytes of the worker's table of pieces, counted with what a Python object needs besides its content.
+LIMIT, OBJECT = 96 << 20, 160
 
 
 def byte_characters() -> str:
@@ -51,6 +52,7 @@ class PieceEncoder:
         self._tokenizer, self._piece, self._chunk, self._fold, self._limit = tokenizer, piece, chunk, fold, limit
         self._other = OTHER_FOLDED if fold else OTHER
         self._known: dict[str, bytes] = {}
+        self._size = 0
 
     def _cut(self, text: str | None) -> tuple[list[str], bool]:
         if not text:
@@ -78,12 +80,14 @@ class PieceEncoder:
         cut = [self._cut(t) for t in texts]
         for again in (False, True):
             missing = [set().union(*(c for c, l in cut if l is latin)).difference(self._known) for latin in (True, False)]
-            if not again and len(self._known) + sum(map(len, missing)) > self._limit and self._known:
+            if not again and self._size > self._limit:
                 self._known.clear()
+                self._size = 0
                 continue
             break
         for some, latin in zip(missing, (True, False)):
             self._add(some, latin)
+            self._size += len(some) * OBJECT + 5 * sum(map(len, some))
         get = self._known.__getitem__
         return [b"".join(map(get, c)) for c, _ in cut]
 
