@@ -43,6 +43,7 @@ _SENTENCE = re.compile(r"[.!?\n]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _STOPPED = re.compile(r"[^\s.!?]+(?:[.!?]+[^\s.!?]+)+")
 _EDGE = ".,;:!?\"'()[]{}<>*_-#%&$~|/\\"
+_INSIDE = re.compile(r"[.!?][^\s.!?]")
 #: Stands before a word's first character.
 _BEGIN = "\x02"
 
@@ -59,7 +60,7 @@ def spaced_words(lower: str) -> list[str]:
 
 def joined_words(lower: str, tokens: list[str]) -> list[str]:
     """Runs of single characters and words with stops inside; ``tokens`` are the text's words with stops as spaces."""
-    out = _STOPPED.findall(lower)
+    out = _STOPPED.findall(lower) if _INSIDE.search(lower) else []
     if sum(map((1).__eq__, map(len, tokens))) > 2:
         out += spaced_words(" ".join(tokens))
     return out
@@ -75,7 +76,8 @@ def pairs(letters: str) -> set[tuple[str, str]]:
 
 
 def _codes(words: tuple[str, ...]) -> np.ndarray:
-    return np.array([[ord(c) for c in w] for w in words], np.int32)
+    """The characters of words of one length."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<i4").reshape(len(words), -1)
 
 
 def _spread(n: int) -> np.ndarray:
@@ -157,8 +159,10 @@ class WordKernel:
                 to = np.array(to)
                 different = {w: n for n, w in enumerate(dict.fromkeys(letters))}
                 own = self_kernels(list(different))[[different[w] for w in letters]]
-                solid = np.array([[True, *map(str.isalnum, w)] for w in some])
-                codes = np.where(solid, _codes(tuple(_BEGIN + w for w in some)), -2)
+                codes = _codes(tuple(_BEGIN + w for w in some))
+                met, at_met = np.unique(codes, return_inverse=True)
+                solid = np.array([c == _BEGIN or c.isalnum() for c in map(chr, met)])[at_met].reshape(codes.shape)
+                codes = np.where(solid, codes, -2)
                 s = raw_kernels(codes, np.where(solid, DECAY, LOOSE), self._codes[to]) / np.sqrt(np.maximum(own * self._own[to], 1e-12))
                 for r in np.flatnonzero(s >= CUT):
                     f = out.setdefault(at[r], np.zeros(len(self.landmarks), np.float32))
