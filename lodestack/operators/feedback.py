@@ -6,14 +6,13 @@ limited exactly if as many valid ones as the limit stand before it in its (ip, U
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from lodestack.functions.web import or_default, trimmed, truthy, utf16_length
+from lodestack.functions import web
+from lodestack.functions.web import or_default
+from lodestack.sources.shipping import ship
 
 #: Requests per day, longest content, defaults of the mail text.
 DAILY, LONGEST = 10, 4000
@@ -44,32 +43,62 @@ def limited(requests: DataFrame, daily: int = DAILY) -> DataFrame:
     return route(requests).withColumn("status", F.coalesce("routed", F.when(prior >= daily, 429).when(~F.col("valid"), 400).otherwise(200)))
 
 
-@F.pandas_udf(BooleanType())
-def strict_json(texts: pd.Series) -> pd.Series:
-    """Whether a text is JSON as scripts read it."""
+def body_status(body: str | None) -> int:
+    """The status of one body: 400 for bad JSON or content, 500 where reading the content raises, else 200."""
+    try:
+        data = web.parsed(body or "")
+    except (ValueError, RecursionError):
+        return 400
+    if data is None:
+        return 500
+    content = data.get("content") if isinstance(data, dict) else None
+    try:
+        return 200 if web.is_true(content) and web.trimmed_length(web.shown(content)) <= LONGEST else 400
+    except TypeError:
+        return 500
 
-    def ok(t):
-        try:
-            json.loads(t, parse_constant=_no)
-            return True
-        except (ValueError, TypeError, RecursionError):
-            return False
 
-    return texts.map(ok).astype(bool)
+def validated(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``status``. The rules for repeated keys, objects and arrays as texts have no built-in form, so bodies are read in Arrow batches."""
+    ship(bodies.sparkSession)
 
+    @F.pandas_udf("int")
+    def status(texts: pd.Series) -> pd.Series:
+        return texts.map(body_status).astype("int32")
 
-def _no(name):
-    raise ValueError(name)
+    return bodies.withColumn("status", status(F.col(body).cast("string")))
 
 
-def validated(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``status``: 400 for bad JSON or content, 500 for a JSON null, else 200."""
-    v = F.try_parse_json(F.col(body))
-    content = F.try_variant_get(v, "$.content", "variant")
-    text = F.try_variant_get(v, "$.content", "string")
-    long = F.coalesce(utf16_length(trimmed(text)) > LONGEST, F.lit(False))
-    status = F.when(~strict_json(F.col(body)), 400).when(F.trim(F.col(body)) == "null", 500).when(content.isNull() | ~truthy(content) | long, 400).otherwise(200)
-    return bodies.withColumn("status", status)
+def limit_key(client: Column, ts: Column) -> Column:
+    """The key under which a client's requests of a UTC day are counted."""
+    return F.format_string("feedback:%s:%s", or_default(client, "unknown"), F.to_date(ts).cast("string"))
+
+
+def received(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``data``, the relayed body as a variant: an empty one is an empty object, bad JSON raises."""
+    return bodies.withColumn("data", F.parse_json(F.coalesce(F.nullif(F.col(body), F.lit("")), F.lit("{}"))))
+
+
+def reply_of(upstream_ok: bool | None, reply: str | None) -> int:
+    """The status for an upstream answer: bad JSON counts as not ok, a JSON null raises."""
+    try:
+        result = web.parsed(reply or "")
+    except (ValueError, RecursionError):
+        return 502
+    if result is None:
+        return 500
+    return 200 if upstream_ok and web.is_true(result.get("ok") if isinstance(result, dict) else None) else 502
+
+
+def answered(rows: DataFrame, upstream_ok: str, reply: str) -> DataFrame:
+    """Adds ``status`` from the upstream's own status and the text of its reply."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("int")
+    def status(oks: pd.Series, replies: pd.Series) -> pd.Series:
+        return pd.Series([reply_of(o, r) for o, r in zip(oks, replies)], dtype="int32")
+
+    return rows.withColumn("status", status(F.coalesce(upstream_ok, F.lit(False)), F.col(reply)))
 
 
 def forwarded(accepted: DataFrame, secret: Column, payload: dict[str, Column]) -> DataFrame:

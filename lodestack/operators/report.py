@@ -22,8 +22,26 @@ def manifest(items: DataFrame) -> DataFrame:
     return items.groupBy("bucket").agg(F.count("*").alias("rows")).select(F.concat(F.lit("data/bucket="), F.col("bucket").cast("string")).alias("part"), "rows")
 
 
+def write_bundle(items: DataFrame, path: str, title: str, key: str, buckets: int) -> DataFrame:
+    """Writes data parts under ``path``/data and, behind them, ``path``/index.html, which links them by relative paths; returns the manifest.
+
+    The page is bounded by the number of buckets; no row passes the driver."""
+    spark = items.sparkSession
+    write_parts(bucketed(items, key, buckets), f"{path}/data")
+    parts = manifest(spark.read.json(f"{path}/data"))
+    page_text = page(title, parts.orderBy("part"), buckets)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/index.html")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(page_text.encode()))
+    out.close()
+    return parts
+
+
 def page(title: str, rows: DataFrame, most: int = 1000) -> str:
-    """A page with a table of at most ``most`` rows (a bounded top list)."""
+    """A page with a table of the first ``most`` rows (a top list); it says so if there are more."""
     head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(most).toLocalIterator())
-    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>"
+    first = rows.limit(most + 1).collect()
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in first[:most])
+    more = f"<p>The first {most} rows.</p>" if len(first) > most else ""
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>{more}"

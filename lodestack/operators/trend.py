@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.sources.tables import kept
+
 MONEY = "decimal(18,2)"
 
 
@@ -49,7 +51,8 @@ def composite(measures: DataFrame, key: str, weights: dict[str, float]) -> DataF
 
 def ranked(scored: DataFrame, by: str, key: str) -> DataFrame:
     """Adds ``position`` = 1 + rows with a larger value, ties by key: ranges are sorted apart, and counts of the ranges before are added."""
-    parts = scored.repartitionByRange(max(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), F.desc(by), key).withColumn("_part", F.spark_partition_id())
+    # written once: two samplings of the ranges need not agree
+    parts = kept(scored.repartitionByRange(F.desc(by), key).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("_part").agg(F.count("*").alias("n"))
     before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(by), key)))

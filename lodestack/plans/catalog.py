@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import feedback, refresh, report, search, trend
 from lodestack.sources import pages
+from lodestack.sources.tables import append_history, read_history, read_jsonl, shared_path, write_snapshot
 from lodestack.sources.tables import table as t
 from lodestack.streaming import refresh as streaming
 
@@ -84,6 +85,7 @@ def q09(s, d):
 WITH hits AS (
   SELECT o_orderkey AS pack_id, 'category' AS field FROM orders WHERE contains(lower(o_orderpriority), 'medium')
   UNION SELECT l_orderkey, 'mods' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'medium')
+  UNION SELECT l_orderkey, 'tags' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_brand), 'medium')
   UNION SELECT l_orderkey, 'types' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_type), 'medium'))
 SELECT pack_id, string_agg(field, ',' ORDER BY field) AS fields FROM hits GROUP BY pack_id""")
 def q10(s, d):
@@ -126,12 +128,13 @@ def q15(s, d):
 @query("q16_filter_combined", """
 SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01'
   AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO')
-  AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'ring'))""")
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'ring'))
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5'))""")
 def q16(s, d):
     l, p = t(s, d, "lineitem"), t(s, d, "part")
     o = t(s, d, "orders").where((F.col("o_orderpriority") == URGENT) & (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")))
     o = o.select("o_orderkey", "o_orderpriority")
-    for condition in (F.col("p_type") == "PROMO", search.matches(F.col("p_name"), "ring")):
+    for condition in (F.col("p_type") == "PROMO", search.matches(F.col("p_name"), "ring"), F.col("p_brand").isin([f"Brand#{i}" for i in range(1, 6)])):
         o = o.join(search.packs_with(l, p, condition).withColumnRenamed("pack_id", "o_orderkey"), "o_orderkey", "left_semi")
     return o
 
@@ -207,6 +210,16 @@ def q23(s, d):
     return measures(t(s, d, "events"))
 
 
+@query("q23_ranked_by_views", f"SELECT user_id, views, row_number() OVER (ORDER BY views DESC, user_id) AS position FROM ({_MEASURES})")
+def q23_views(s, d):
+    return trend.ranked(measures(t(s, d, "events")).select("user_id", "views"), "views", "user_id")
+
+
+@query("q23_ranked_by_activity", f"SELECT user_id, activity, row_number() OVER (ORDER BY activity DESC, user_id) AS position FROM ({_MEASURES})")
+def q23_activity(s, d):
+    return trend.ranked(measures(t(s, d, "events")).select("user_id", "activity"), "activity", "user_id")
+
+
 @query("q24_facet_counts", "SELECT o_orderpriority AS facet, count(*) AS packs FROM orders GROUP BY 1")
 def q24(s, d):
     return t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("facet")).agg(F.count("*").alias("packs"))
@@ -243,6 +256,25 @@ _STATUS = f"""SELECT *, CASE WHEN method <> 'POST' THEN 405
     WHEN NOT valid THEN 400 ELSE 200 END AS status FROM ({_REQUESTS})"""
 
 
+@query("q29_snapshot_bundle", "SELECT 'data/bucket=' || (o_orderkey % 16) AS part, count(*) AS rows FROM orders GROUP BY 1")
+def q29(s, d):
+    """Orders as a written JSON snapshot, read back by its schema, and the page with its data parts made of it."""
+    orders, path = t(s, d, "orders"), shared_path(s, "bundle")
+    write_snapshot(orders, f"{path}/snapshot")
+    snapshot = read_jsonl(s, f"{path}/snapshot", orders.schema).drop("_corrupt_record")
+    return report.write_bundle(snapshot, f"{path}/page", "Packs", "o_orderkey", 16)
+
+
+@query("q29_history", f"SELECT user_id, day, CAST(v AS DOUBLE) AS value FROM ({_DAILY})")
+def q29_history(s, d):
+    """The trend history through its written table: each day's values are appended, the newest version of a day counts."""
+    path = shared_path(s, "history")
+    days = trend.daily(t(s, d, "events")).select("user_id", "day", F.col("v").cast("double").alias("value"))
+    append_history(days.select("*", F.lit(1).alias("version")).withColumn("value", F.lit(0.0)), path, "day")
+    append_history(days.select("*", F.lit(2).alias("version")), path, "day")
+    return read_history(s, path, "user_id", "day").select("user_id", "day", "value")
+
+
 @query("q30_feedback_route", f"SELECT id, client, method, CASE WHEN method <> 'POST' THEN 405 END AS routed FROM ({_REQUESTS})")
 def q30(s, d):
     return feedback.route(feedback.derived(t(s, d, "events"))).select("id", "client", "method", "routed")
@@ -253,11 +285,20 @@ def q31(s, d):
     return feedback.limited(feedback.derived(t(s, d, "events"))).select("id", "client", "status")
 
 
-@query("q32_feedback_validate")
+@query("q31_feedback_limit_key", f"SELECT id, 'feedback:' || client || ':' || CAST(ts AS DATE) AS key FROM ({_REQUESTS})")
+def q31_key(s, d):
+    return feedback.derived(t(s, d, "events")).select("id", feedback.limit_key(F.col("ip"), F.col("ts")).alias("key"))
+
+
+@query("q32_feedback_validate", "SELECT event_id, CAST(CASE event_type WHEN 'error' THEN 400 WHEN 'purchase' THEN 500 WHEN 'signup' THEN 200 WHEN 'click' THEN 200 ELSE 200 END AS INTEGER) AS status FROM events")
 def q32(s, d):
-    """The events' props with a content made of them, as bodies."""
-    bodies = t(s, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.to_json(F.struct(F.col("props").alias("content")))).alias("body"))
-    return feedback.validated(bodies).select("event_id", "status")
+    """Bodies made of the events' props: without a content, a JSON null, an array, a repeated key, and a text as content."""
+    kind, props = F.col("event_type"), F.col("props")
+    body = (
+        F.when(kind == "error", props).when(kind == "purchase", F.lit("\nnull")).when(kind == "signup", F.concat(F.lit('{"content":['), props, F.lit(",null,1.5]}")))
+        .when(kind == "click", F.concat(F.lit('{"content":"","content":'), props, F.lit("}"))).otherwise(F.to_json(F.struct(props.alias("content"))))
+    )
+    return feedback.validated(t(s, d, "events").select("event_id", body.alias("body"))).select("event_id", "status")
 
 
 @query("q33_feedback_forward", f"""
@@ -271,6 +312,14 @@ def q33(s, d):
     return sent.select("id", "forward", feedback.reply_status(F.col("event_type") != "click", F.col("value") >= 50).alias("status"))
 
 
+@query("q33_feedback_replies", "SELECT event_id, CAST(CASE WHEN event_type IN ('view', 'signup') THEN 502 WHEN event_type = 'purchase' THEN 500 WHEN value >= 50 THEN 200 ELSE 502 END AS INTEGER) AS status FROM events")
+def q33_replies(s, d):
+    """Upstream replies made of the events: broken JSON, no ok, a JSON null, and an ok of the value's truth from 50 on."""
+    kind = F.col("event_type")
+    reply = F.when(kind == "view", "{").when(kind == "signup", F.col("props")).when(kind == "purchase", "null").otherwise(F.concat(F.lit('{"ok":'), F.when(F.col("value") >= 50, "[]").otherwise("0"), F.lit("}")))
+    return feedback.answered(t(s, d, "events").select("event_id", F.lit(True).alias("up"), reply.alias("reply")), "up", "reply").select("event_id", "status")
+
+
 @query("q34_feedback_mail_rows", f"""
 SELECT id, event_type <> 'click' AS ok, CASE WHEN event_type <> 'click' THEN 'box' END AS "to",
   CASE WHEN event_type <> 'click' THEN '[整合包工具反馈] ' || CASE WHEN event_type = 'view' THEN '其他' ELSE event_type END END AS subject,
@@ -294,3 +343,8 @@ def q35(s, d):
 @query("q36_refresh_available_now", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def q36(s, d):
     return streaming.newest_versions(s, d)
+
+
+@query("q37_feedback_stream_decisions", f"SELECT id, client, status FROM ({_STATUS})")
+def q37(s, d):
+    return streaming.decided(s, d)

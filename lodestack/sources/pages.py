@@ -8,14 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.sources.shipping import ship
+
 
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.title, self.links, self.length, self._in = None, 0, 0, []
+        self.title, self.links, self.length, self._in, self._titles = None, 0, 0, [], 0
 
     def handle_starttag(self, tag, attrs):
         self.links += tag == "a" and any(k == "href" for k, _ in attrs)
+        self._titles += tag == "title"
         if tag in ("script", "style", "title"):
             self._in.append(tag)
 
@@ -25,12 +28,16 @@ class _Page(HTMLParser):
 
     def handle_data(self, data):
         if "title" in self._in:
-            self.title = (self.title or "") + data
+            if self._titles == 1:  # others belong to drawings
+                self.title = (self.title or "") + data
         elif not self._in:
             self.length += len(data.strip())
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The pages' other columns, with title (of the first title element), number of links and length of the text."""
+    ship(pages.sparkSession)
+
     @F.pandas_udf("title string, n_links int, text_length int")
     def parse(texts: pd.Series) -> pd.DataFrame:
         rows = []

@@ -15,9 +15,8 @@ _own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder; dates are read in UTC."""
+    """A table of a data folder; its times have no zone and are read as UTC."""
     ship(spark)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,14 +37,37 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """The current snapshot as JSON lines, in place of the one before; Spark's committer publishes whole outputs only."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """The current snapshot as JSON lines, in place of the one before.
+
+    It is written whole beside ``path`` and then renamed, so a failed job leaves the old one, and ``df`` may read it."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    tag = uuid.uuid4().hex
+    staged, old = f"{path.rstrip('/')}.staged-{tag}", f"{path.rstrip('/')}.old-{tag}"
+    df.write.option("ignoreNullFields", "false").json(staged)
+    fs = at(path).getFileSystem(conf)
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        raise OSError(f"cannot set {path} aside")
+    if not fs.rename(at(staged), at(path)):
+        if had:
+            fs.rename(at(old), at(path))
+        raise OSError(f"cannot put the snapshot at {path}")
+    if had:
+        fs.delete(at(old), True)
 
 
 def append_history(df: DataFrame, path: str, day: str = "snap_date") -> None:
     df.write.mode("append").partitionBy(day).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a written table in the shared folder: worked out once, and safe from lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_history(spark: SparkSession, path: str, key: str, day: str = "snap_date", version: str = "version") -> DataFrame:
     """One row per key and day, the one of the largest version."""
     rows = spark.read.parquet(path)

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.feedback import DAILY, derived, route
+from lodestack.sources.shipping import ship
 from lodestack.sources.tables import shared_path
 
-TIMEOUT_S = 600
-
-
-def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stateful aggregation over what there is and returns its last state, kept in the shared folder."""
+def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stateful query over what there is and returns, from the shared folder, its last state, or with mode "append" all its rows."""
     out, shape = shared_path(spark, name), stream.schema
 
+    written: set[int] = set()
+
     def keep(batch: DataFrame, number: int) -> None:
+        written.add(number)
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
     try:
-        if not q.awaitTermination(TIMEOUT_S):
-            raise TimeoutError(f"{name} did not end in {TIMEOUT_S} s")
+        q.awaitTermination()  # ends with the input
     finally:
         q.stop()
+    if mode == "append":
+        batches = [p["batchId"] for p in q.recentProgress]
+        return spark.read.schema(shape).parquet(*[f"{out}/batch={b}" for b in sorted({*batches}) if b in written]) if written else spark.createDataFrame([], shape)
     last = q.lastProgress["batchId"] if q.lastProgress else None
     return spark.read.schema(shape).parquet(f"{out}/batch={last}") if last is not None else spark.createDataFrame([], shape)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     path = f"{sf_dir}/events.parquet"
     # as a glob, the path may be a single file too
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
@@ -36,13 +41,44 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_limits(spark: SparkSession, sf_dir: str, daily: int = DAILY) -> DataFrame:
     """(client, day, valid, accepted) per client and UTC day."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     requests = route(derived(event_stream(spark, sf_dir)))
     valid = F.col("routed").isNull() & F.col("valid")
     counted = requests.groupBy("client", F.to_date("ts").alias("day")).agg(F.sum(valid.cast("long")).alias("valid"))
     return run_available(spark, counted, "daily-limits").select("client", "day", "valid", F.least("valid", F.lit(daily)).alias("accepted"))
 
 
+STATE, DECIDED = "used int", "id long, client string, day date, status int"
+
+
+def _decide(key, chunks, state):
+    """The statuses of a client's requests of one day in this batch; the state, how many were accepted, goes a day after the day's end."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    used = state.get[0] if state.exists else 0
+    rows = pd.concat(list(chunks)).sort_values(["ts", "id"])
+    statuses = []
+    for routed, valid in zip(rows["routed"], rows["valid"]):
+        if not pd.isna(routed):
+            statuses.append(int(routed))
+        elif used >= DAILY:
+            statuses.append(429)
+        else:
+            statuses.append(200 if valid else 400)
+            used += bool(valid)
+    state.update((used,))
+    state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1]).timestamp() * 1000) + 2 * 86_400_000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"id": rows["id"], "client": key[0], "day": key[1], "status": statuses})
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, client, status): each request decided in a stream with one state per client and UTC day, which expires."""
+    requests = route(derived(event_stream(spark, sf_dir))).withColumns({"ts": F.col("ts").cast("timestamp"), "day": F.to_date("ts")})
+    keyed = requests.withWatermark("ts", "1 day").select("id", "ts", "client", "day", "routed", "valid").groupBy("client", "day")
+    rows = keyed.applyInPandasWithState(_decide, DECIDED, STATE, "append", "EventTimeTimeout")
+    return run_available(spark, rows, "decided", "append").select("id", "client", "status")
+
+
 def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, event_id, event_type): the newest event of each user."""
     newest = event_stream(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))

@@ -3,11 +3,12 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import web
 from lodestack.operators import feedback, refresh, report
-from lodestack.sources import tables
+from lodestack.sources import pages, tables
 
 
 def test_validation(spark):
@@ -20,6 +21,53 @@ def test_validation(spark):
     assert {r["body"]: r["status"] for r in rows} == cases
 
 
+def test_validation_of_what_scripts_make_of_values(spark):
+    words = lambda n: '{"content":[' + ",".join(['"seven77"'] * n) + "]}"
+    cases = {
+        "\nnull": 500, '{"content":"a","content":"b"}': 200, '{"content":"a","content":""}': 400, '{"x":1,"x":2,"content":"hi"}': 200,
+        '{"content":{"a":"' + "b" * 5000 + '"}}': 200, words(450): 200, words(501): 400, '{"content":{"toString":1}}': 500, "[1]": 400, '"x"': 400, "3": 400, '{"content":1e999}': 200,
+    }
+    rows = feedback.validated(spark.createDataFrame([(b,) for b in cases], "body string")).collect()
+    assert {r["body"][:40]: r["status"] for r in rows} == {b[:40]: s for b, s in cases.items()}
+    numbers = {1e16: "10000000000000000", 1e21: "1e+21", 1.5e-7: "1.5e-7", 1e-6: "0.000001", 123.25: "123.25", -0.0: "0", 12300.0: "12300", 1.2345e22: "1.2345e+22", 5e-324: "5e-324", 100.0: "100", -2.0: "-2"}
+    assert {x: web.shown_number(x) for x in numbers} == numbers
+    assert web.shown([None, [1, "a", None], {}, True]) == ",1,a,,[object Object],true"
+
+
+def test_replies_keys_and_received_bodies(spark):
+    replies = [(True, "{", 502), (True, "null", 500), (False, '{"ok":true}', 502), (True, '{"ok":true}', 200), (True, '{"ok":0}', 502), (True, '{"ok":[]}', 200), (None, '{"ok":1}', 502), (True, None, 502), (True, "[]", 502)]
+    got = feedback.answered(spark.createDataFrame(replies, "up boolean, reply string, want int"), "up", "reply").collect()
+    assert all(r["status"] == r["want"] for r in got)
+    bodies = feedback.received(spark.createDataFrame([("",), (None,), ('{"a":1}',)], "body string"))
+    assert [r[0] for r in bodies.select(F.to_json("data")).collect()] == ["{}", "{}", '{"a":1}']
+    with pytest.raises(Exception):
+        feedback.received(spark.createDataFrame([("{",)], "body string")).collect()
+    keys = spark.createDataFrame([(None, datetime.datetime(2024, 1, 2, 3))], "ip string, ts timestamp_ntz").select(feedback.limit_key(F.col("ip"), F.col("ts")))
+    assert keys.first()[0] == "feedback:unknown:2024-01-02"
+
+
+def test_snapshot_may_be_written_from_itself_and_survives_a_failure(spark, tmp_path):
+    path = f"file://{tmp_path}/snap"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    tables.write_snapshot(df, path)
+    again = tables.read_jsonl(spark, path, df.schema).drop("_corrupt_record")
+    tables.write_snapshot(again.where("id = 2"), path)
+    with pytest.raises(Exception):
+        tables.write_snapshot(df.select("id", F.raise_error(F.lit("no")).alias("x")), path)
+    assert tables.read_jsonl(spark, path, df.schema).drop("_corrupt_record").collect() == [(2, "b")]
+
+
+def test_bundle_and_titles(spark, tmp_path):
+    parts = report.write_bundle(spark.createDataFrame([(i, "<x>") for i in range(10)], "id long, x string"), f"file://{tmp_path}/b", "T<", "id", 3)
+    assert {(r["part"], r["rows"]) for r in parts.collect()} == {("data/bucket=0", 4), ("data/bucket=1", 3), ("data/bucket=2", 3)}
+    text = (tmp_path / "b" / "index.html").read_text()
+    assert "T&lt;" in text and all(f"data/bucket={i}" in text for i in range(3))
+    assert "The first 2 rows" in report.page("t", spark.range(3), 2)
+    html = "<title>A &amp; b</title><svg><title>icon</title></svg><a href=x>link</a><script>no</script> text"
+    row = pages.extract(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
+    assert tuple(row[0]) == (1, "A & b", 1, 8) and tuple(row[1]) == (2, None, 0, 0)
+
+
 def test_limit_is_sequential(spark):
     r, start, rows = random.Random(3), datetime.datetime(2024, 1, 1), []
     for i in range(600):
