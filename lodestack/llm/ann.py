@@ -11,7 +11,7 @@ neighbours. So it is small where vectors cluster and large where they lie withou
 neighbours' distribution that the costs need.
 
 Leaves are searched in blocks of about ``BLOCK`` rows with a common ancestor: a row is sent once per tree, a query once per block with the list of its leaves. Blocks with
-too many rows or queries are dealt into parts. A query carries a floor, the ``k + 1``-th of its scores with those rows of a small sample that its leaves hold; what lies below it
+too many rows or queries are dealt into parts. A query carries a floor, the ``k + 1``-th of its scores with those rows of the sample (a share ``FLOOR_SHARE`` of all rows at most) that its leaves hold; what lies below it
 cannot be an answer and is not sent on. Scores are summed in double precision, component by component, on the original vectors.
 
 For nearness by inner product the rows are lifted by one component that makes all norms equal, so that the trees, which part by direction, fit it.
@@ -35,7 +35,7 @@ from pyspark.sql.types import FloatType
 
 from .shared import ship, written
 
-SAMPLE_ROWS, FLOOR_ROWS, TRIALS = 20_000, 2_000, 64
+SAMPLE_ROWS, FLOOR_SHARE, TRIALS = 20_000, 0.2, 64
 LEAF, DEEPEST = 256, 11
 BLOCK, QUERY_CHUNK = 4096, 4096
 
@@ -146,7 +146,7 @@ def search(
     sample = _matrix(index.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow().column(0))  # at most sample_rows rows
     depth = min(max(0, int(np.ceil(np.log2(n / LEAF)))), DEEPEST)
     forest = Forest(_lifted(sample, longest), trees, depth)
-    some = sample[:FLOOR_ROWS]
+    some = sample[: max(1, int(FLOOR_SHARE * n))]
     sent = spark.sparkContext.broadcast((forest, some, forest.leaves(_lifted(some, longest))))
 
     def assign(batches):
