@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .shared import ship, written
+from .shared import parallelism, ship, written
 
 SAMPLE_ROWS, FLOOR_SHARE, TRIALS = 20_000, 0.2, 64
 LEAF, DEEPEST = 256, 11
@@ -188,7 +188,8 @@ def search(
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), _PROBE)], [n for n, _ in _PROBE])
 
-    probes = written(asked.select("q", "v").mapInArrow(probe, "q long, floor double, tree int, block int, chunk int, leaves array<int>"), "probes")
+    # the search takes far longer than its rows' size tells, so these are dealt to all tasks
+    probes = written(asked.select("q", "v").repartition(parallelism(spark), "q").mapInArrow(probe, "q long, floor double, tree int, block int, chunk int, leaves array<int>"), "probes")
     # blocks are at most trees x 2 ** DEEPEST; those that many queries take are dealt by query too
     parts = {(t, g): -(-c // QUERY_CHUNK) for t, g, c in probes.where("chunk = 0").groupBy("tree", "block").count().collect()}
     many = spark.createDataFrame([(t, g, int(chunks[t, g]), int(p)) for (t, g), p in parts.items()], "tree int, block int, chunks int, parts int")
