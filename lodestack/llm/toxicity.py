@@ -321,8 +321,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([*map(pa.array, model.traits(b.column(0).to_pylist()).T), b.column(1)], ["worst", "sum", "words", "y"])
 
-    fit = sample.mapInArrow(judged, "worst double, sum double, words double, y int").orderBy("worst", "sum", "words", "y").toArrow()  # the bounded sample's documents
-    model.fit = logistic(np.column_stack([fit[c].to_numpy() for c in ("worst", "sum", "words")]), fit["y"].to_numpy().astype(float))
+    fit = sample.mapInArrow(judged, "worst double, sum double, words double, y int").toArrow()  # the bounded sample's documents
+    rows = np.column_stack([fit[c].to_numpy() for c in ("worst", "sum", "words", "y")]).astype(float)
+    rows = rows[np.lexsort(rows.T)]  # the same sums whatever the order of the tasks
+    model.fit = logistic(rows[:, :-1], rows[:, -1])
     return model
 
 
