@@ -25,11 +25,20 @@ OTHER = re.compile("[^\\x00-\\u024f]")
 OTHER_FOLDED = re.compile("[^\\x00-\\u024f]|[" + "".join(c for c in map(chr, range(0x250)) if len(c.lower()) > 1 or c.lower() > "\u024f") + "]")
 SPACED_WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
-#: The pattern of the byte-level vocabularies, and that of the vocabulary with word ends.
-BYTE_PIECE = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
-WORD_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+
+
+def _pieces(letter: str, number: str, word_end: bool) -> re.Pattern:
+    """The pattern of the byte-level vocabularies, or that of the vocabulary with word ends. Words come first, since most pieces are words and no other
+    branch begins as they do."""
+    contraction = "'(?:[stmd]|re|ve|ll)"
+    if word_end:
+        return re.compile(f"[{letter}]+|{contraction}|[{number}]|[^{SPACE}{letter}{number}]+")
+    return re.compile(f" ?[{letter}]+|{contraction}| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
+BYTE_PIECE, WORD_PIECE = _pieces(LETTER, NUMBER, False), _pieces(LETTER, NUMBER, True)
+#: The same for ASCII texts, whose classes are small and quick to test.
+ASCII = {BYTE_PIECE: _pieces("A-Za-z", "0-9", False), WORD_PIECE: _pieces("A-Za-z", "0-9", True)}
 
 #: Bytes of the worker's table of pieces, counted with what a Python object needs besides its content.
 LIMIT, OBJECT = 96 << 20, 160
@@ -45,51 +54,56 @@ def byte_characters() -> str:
 BYTE_CHARACTERS = byte_characters()
 
 
+class _Known(dict):
+    """Ids by piece. A piece of a Latin text that is not there yet is encoded when it is looked up."""
+
+    def __init__(self, tokenizer):
+        self._tokenize = tokenizer.model.tokenize
+        self.size = 0
+
+    def put(self, piece: str, ids: list[int]) -> bytes:
+        self[piece] = out = array("I", ids).tobytes()
+        self.size += OBJECT + 5 * len(piece)
+        return out
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():  # all but the space stand for themselves
+            shown = piece.replace(" ", BYTE_CHARACTERS[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return self.put(piece, [t.id for t in self._tokenize(shown)])
+
+
 class PieceEncoder:
     """Ids of whole texts. ``fold``: lower case first, as the vocabulary with word ends does."""
 
     def __init__(self, tokenizer, piece: re.Pattern, chunk: re.Pattern, fold: bool = False, limit: int = LIMIT):
         self._tokenizer, self._piece, self._chunk, self._fold, self._limit = tokenizer, piece, chunk, fold, limit
-        self._other = OTHER_FOLDED if fold else OTHER
-        self._known: dict[str, bytes] = {}
-        self._size = 0
-
-    def _cut(self, text: str | None) -> tuple[list[str], bool]:
-        if not text:
-            return [], True
-        if self._other.search(text):
-            return self._chunk.findall(text), False
-        return self._piece.findall(text.lower() if self._fold else text), True
-
-    def _add(self, pieces: set[str], latin: bool) -> None:
-        pieces = list(pieces)
-        if latin:
-            tokenize, known = self._tokenizer.model.tokenize, self._known
-            mapped = "\0".join(pieces).encode().decode("latin-1").translate(BYTE_CHARACTERS).split(BYTE_CHARACTERS[0])
-            if len(mapped) != len(pieces):  # a text holds the separator itself
-                mapped = [p.encode().decode("latin-1").translate(BYTE_CHARACTERS) for p in pieces]
-            for p, m in zip(pieces, mapped):
-                known[p] = array("I", [t.id for t in tokenize(m)]).tobytes()
-        for i in range(0, 0 if latin else len(pieces), 4096):
-            some = pieces[i : i + 4096]
+        self._other, self._ascii = OTHER_FOLDED if fold else OTHER, ASCII[piece]
+        self._known = _Known(tokenizer)
+
+    def _cut(self, text: str) -> list[str]:
+        """The text's pieces; those of a text that is not Latin are known afterwards."""
+        if text.isascii():
+            return self._ascii.findall(text.lower() if self._fold else text)
+        if not self._other.search(text):
+            return self._piece.findall(text.lower() if self._fold else text)
+        cut = self._chunk.findall(text)
+        missing = [p for p in set(cut) if p not in self._known]
+        for i in range(0, len(missing), 4096):
+            some = missing[i : i + 4096]
             for p, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self._known[p] = array("I", e.ids).tobytes()
+                self._known.put(p, e.ids)
+        return cut
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [self._cut(t) for t in texts]
-        for again in (False, True):
-            missing = [set().union(*(c for c, l in cut if l is latin)).difference(self._known) for latin in (True, False)]
-            if not again and self._size > self._limit:
-                self._known.clear()
-                self._size = 0
-                continue
-            break
-        for some, latin in zip(missing, (True, False)):
-            self._add(some, latin)
-            self._size += len(some) * OBJECT + 5 * sum(map(len, some))
-        get = self._known.__getitem__
-        return [b"".join(map(get, c)) for c, _ in cut]
+        out = []
+        for text in texts:
+            if self._known.size > self._limit:
+                self._known = _Known(self._tokenizer)
+            out.append(b"".join(map(self._known.__getitem__, self._cut(text))) if text else b"")
+        return out
 
 
 _encoders: dict[tuple, object] = {}

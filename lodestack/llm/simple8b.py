@@ -13,12 +13,16 @@ import numpy as np
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK = 1024
+#: More than the integers of any word.
+ROOM = 128
 
 _COUNT = np.array(COUNTS, np.int64)
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, "right").astype(np.uint8)
+    if len(values) and values.max() >= 1 << 53:
+        return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, "right").astype(np.uint8)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # exact, as a double holds 53 bits
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -27,48 +31,55 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    need = bit_lengths(values)
-    begins = np.arange(0, n, block)
-    ends = np.minimum(begins + block, n)
-    choice = np.where(need > 60, 0, 15).astype(np.uint8)
-    for s in range(14, 0, -1):
-        fit = np.flatnonzero(need <= BITS[s])
-        if not len(fit):
-            continue
-        end = ends[fit // block]
-        last = np.flatnonzero(np.append((np.diff(fit) != 1) | (fit[1:] % block == 0), True))
-        reach = fit[np.repeat(last, np.diff(last, prepend=-1))] + 1  # behind the run that each position is in
-        fit = fit[(reach - fit >= COUNTS[s]) | (reach == end)]
-        choice[fit] = s
-    after = np.arange(n) + _COUNT[choice]
-    starts, at = [], begins
+    # zeros behind each block, as many as a word can reach
+    n_blocks, width = -(-n // block), block + ROOM
+    padded = np.zeros((n_blocks, width), np.uint64)
+    whole = n // block
+    padded[:whole, :block] = values[: whole * block].reshape(whole, block)
+    padded[whole:, : n - whole * block] = values[whole * block :]
+    padded = padded.ravel()
+    choice = _selectors(bit_lengths(padded))
+    at = np.arange(n_blocks) * width
+    begins, ends = at, at + np.minimum(block, n - np.arange(n_blocks) * block)
+    begun = np.zeros(len(padded), bool)
     while len(at):
-        starts.append(at)
-        at = after[at]
+        begun[at] = True
+        at = at + _COUNT[choice[at]]
         live = at < ends
         at, ends = at[live], ends[live]
-    starts = np.sort(np.concatenate(starts))
+    starts = np.flatnonzero(begun)
     picked = choice[starts]
     place = np.cumsum(1 + (picked == 0)) - 1 - (picked == 0)
     words = np.zeros(int(place[-1]) + 1 + int(picked[-1] == 0), np.uint64)
-    padded = np.append(values, np.zeros(128, np.uint64))
     for s in range(16):
         mine = np.flatnonzero(picked == s)
         if not len(mine):
             continue
+        first = starts[mine]
         if s == 0:
-            words[place[mine] + 1] = values[starts[mine]]
+            words[place[mine] + 1] = padded[first]
             continue
         word = np.full(len(mine), s << 60, np.uint64)
-        first = starts[mine]
-        end = (first // block + 1) * block
         for k in range(COUNTS[s] if BITS[s] else 0):
-            v = padded[np.minimum(first + k, n)]
-            word |= np.where(first + k < end, v, np.uint64(0)) << np.uint64(k * BITS[s])
+            word |= padded[first + k] << np.uint64(k * BITS[s])
         words[place[mine]] = word
     return words, np.append(place[np.searchsorted(starts, begins)], len(words))
 
 
+def _selectors(need: np.ndarray) -> np.ndarray:
+    """The selector of a word that begins at each position: that of the most integers which all fit."""
+    choice = np.where(need > BITS[15], 0, 15).astype(np.uint8)
+    most = {1: need}  # by count, the bits that so many integers from a position on need
+    for s in range(14, 0, -1):
+        count = COUNTS[s]
+        one = max(c for c in most if count - c in most)
+        rest = most[count - one]
+        most[count] = most[one].copy()
+        np.maximum(most[one][: len(need) - one], rest[one:], out=most[count][: len(need) - one])
+        choice[most[count] <= BITS[s]] = s
+    return choice
+
+
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
     """The ``n`` integers of these whole blocks; ``offsets`` as from ``encode``."""
     words = np.asarray(words, np.uint64)
