@@ -36,6 +36,12 @@ def change(events: DataFrame, as_of: str, days: int) -> DataFrame:
     return total.select("user_id", F.col("now").cast("double").alias("now"), (F.col("now") - F.col("base")).cast("double").alias("trend"))
 
 
+def period(events: DataFrame, begin: str, end: str) -> DataFrame:
+    """(user_id, gained): the sum over the days from ``begin`` to ``end``, both included."""
+    day = F.to_date("ts")
+    return events.where(day.between(F.to_date(F.lit(begin)), F.to_date(F.lit(end)))).groupBy("user_id").agg(F.sum(F.col("value").cast(MONEY)).alias("gained"))
+
+
 def leaderboard(events: DataFrame, as_of: str, days: int, k: int) -> DataFrame:
     return change(events, as_of, days).orderBy(F.desc_nulls_last("trend"), "user_id").limit(k)
 

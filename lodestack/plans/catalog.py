@@ -129,11 +129,14 @@ def q15(s, d):
 SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01'
   AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO')
   AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'ring'))
-  AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5'))""")
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5'))
+  AND o_custkey IN (SELECT user_id FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY 1 HAVING sum(CAST(value AS DECIMAL(18,2))) > 10)""")
 def q16(s, d):
+    """All facets at once; that of the trend period is what a pack's customer gained in it."""
     l, p = t(s, d, "lineitem"), t(s, d, "part")
     o = t(s, d, "orders").where((F.col("o_orderpriority") == URGENT) & (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")))
-    o = o.select("o_orderkey", "o_orderpriority")
+    gained = trend.period(t(s, d, "events"), "2024-01-10", "2024-01-20").where("gained > 10").select(F.col("user_id").alias("o_custkey"))
+    o = o.join(gained, "o_custkey", "left_semi").select("o_orderkey", "o_orderpriority")
     for condition in (F.col("p_type") == "PROMO", search.matches(F.col("p_name"), "ring"), F.col("p_brand").isin([f"Brand#{i}" for i in range(1, 6)])):
         o = o.join(search.packs_with(l, p, condition).withColumnRenamed("pack_id", "o_orderkey"), "o_orderkey", "left_semi")
     return o

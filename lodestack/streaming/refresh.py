@@ -5,31 +5,38 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestack.operators.feedback import DAILY, derived, route
 from lodestack.sources.shipping import ship
 from lodestack.sources.tables import shared_path
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stateful query over what there is and returns, from the shared folder, its last state, or with mode "append" all its rows."""
-    out, shape = shared_path(spark, name), stream.schema
 
-    written: set[int] = set()
+def run_available(spark: SparkSession, stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stateful query over what there is and returns its rows from the shared folder: all of them or, with ``keys``, the last of each key.
+
+    With ``keys`` a batch writes the rows that it changed, not the whole state."""
+    out, shape = shared_path(spark, name), stream.schema
+    batches = 0
 
     def keep(batch: DataFrame, number: int) -> None:
-        written.add(number)
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        nonlocal batches
+        batches += 1
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
+    writer = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", shared_path(spark, f"{name}-state"))
+    q = writer.trigger(availableNow=True).foreachBatch(keep).start()
     try:
         q.awaitTermination()  # ends with the input
     finally:
         q.stop()
-    if mode == "append":
-        batches = [p["batchId"] for p in q.recentProgress]
-        return spark.read.schema(shape).parquet(*[f"{out}/batch={b}" for b in sorted({*batches}) if b in written]) if written else spark.createDataFrame([], shape)
-    last = q.lastProgress["batchId"] if q.lastProgress else None
-    return spark.read.schema(shape).parquet(f"{out}/batch={last}") if last is not None else spark.createDataFrame([], shape)
+    if not batches:
+        return spark.createDataFrame([], shape)
+    rows = spark.read.schema(StructType(list(shape)).add("batch", "long")).parquet(out)
+    if not keys:
+        return rows.drop("batch")
+    last = F.max_by(F.struct(*[c for c in shape.names if c not in keys]), "batch").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def daily_limits(spark: SparkSession, sf_dir: str, daily: int = DAILY) -> DataFr
     requests = route(derived(event_stream(spark, sf_dir)))
     valid = F.col("routed").isNull() & F.col("valid")
     counted = requests.groupBy("client", F.to_date("ts").alias("day")).agg(F.sum(valid.cast("long")).alias("valid"))
-    return run_available(spark, counted, "daily-limits").select("client", "day", "valid", F.least("valid", F.lit(daily)).alias("accepted"))
+    return run_available(spark, counted, "daily-limits", ("client", "day")).select("client", "day", "valid", F.least("valid", F.lit(daily)).alias("accepted"))
 
 
 STATE, DECIDED = "used int", "id long, client string, day date, status int"
@@ -76,10 +83,10 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = route(derived(event_stream(spark, sf_dir))).withColumns({"ts": F.col("ts").cast("timestamp"), "day": F.to_date("ts")})
     keyed = requests.withWatermark("ts", "1 day").select("id", "ts", "client", "day", "routed", "valid").groupBy("client", "day")
     rows = keyed.applyInPandasWithState(_decide, DECIDED, STATE, "append", "EventTimeTimeout")
-    return run_available(spark, rows, "decided", "append").select("id", "client", "status")
+    return run_available(spark, rows, "decided").select("id", "client", "status")
 
 
 def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, event_id, event_type): the newest event of each user."""
     newest = event_stream(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))
-    return run_available(spark, newest, "refresh").select("user_id", "r.event_id", "r.event_type")
+    return run_available(spark, newest, "refresh", ("user_id",)).select("user_id", "r.event_id", "r.event_type")
