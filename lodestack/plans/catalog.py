@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.web import number_or_zero
 from lodestack.operators import feedback, refresh, report, search, trend
 from lodestack.sources import pages
 from lodestack.sources.tables import append_history, read_history, read_jsonl, shared_path, write_snapshot
@@ -44,6 +45,11 @@ def q02(s, d):
     return refresh.stale(t(s, d, "orders"), "o_orderdate", ORDERS_AS_OF, 365).select("o_orderkey", "o_orderpriority")
 
 
+@query("q02_full_refresh", "SELECT o_orderkey, o_orderpriority FROM orders")
+def q02_full(s, d):
+    return refresh.stale(t(s, d, "orders"), "o_orderdate", ORDERS_AS_OF, None).select("o_orderkey", "o_orderpriority")
+
+
 @query("q03_snapshot_upsert", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def q03(s, d):
     e = t(s, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
@@ -95,6 +101,25 @@ def q10(s, d):
     return search.any_field({"category": category, "mods": by("p_name"), "tags": by("p_brand"), "types": by("p_type")})
 
 
+@query("q10_search_five_fields", """
+WITH hits AS (
+  SELECT o_orderkey AS pack_id, 'name' AS field FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), '11')
+  UNION SELECT doc_id, 'description' FROM documents WHERE contains(lower(text), '11')
+  UNION SELECT conv_id, 'comments' FROM conversations WHERE contains(lower(text), '11')
+  UNION SELECT l_orderkey, 'tags' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_brand), '11')
+  UNION SELECT l_orderkey, 'mods' FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), '11'))
+SELECT pack_id, string_agg(field, ',' ORDER BY field) AS fields FROM hits GROUP BY pack_id""")
+def q10_five(s, d):
+    """A pack is named by its customer here; documents and conversations of its number are its description and comments."""
+    l, p, has = t(s, d, "lineitem"), t(s, d, "part"), lambda c: search.matches(F.col(c), "11")
+    named = t(s, d, "customer").where(has("c_name")).select(F.col("c_custkey").alias("o_custkey"))
+    name = t(s, d, "orders").select(F.col("o_orderkey").alias("pack_id"), "o_custkey").join(named, "o_custkey", "left_semi")
+    described = t(s, d, "documents").where(has("text")).select(F.col("doc_id").alias("pack_id"))
+    comments = t(s, d, "conversations").where(has("text")).select(F.col("conv_id").alias("pack_id"))
+    by = lambda c: search.packs_with(l, p, has(c))
+    return search.any_field({"name": name, "description": described, "comments": comments, "tags": by("p_brand"), "mods": by("p_name")})
+
+
 @query("q11_filter_category", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def q11(s, d):
     return t(s, d, "orders").where(F.col("o_orderpriority").isin(URGENT, "2-HIGH")).select("o_orderkey", "o_totalprice")
@@ -293,6 +318,13 @@ def q31_key(s, d):
     return feedback.derived(t(s, d, "events")).select("id", feedback.limit_key(F.col("ip"), F.col("ts")).alias("key"))
 
 
+@query("q31_feedback_state_value", "SELECT event_id, CASE event_type WHEN 'view' THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS used FROM events")
+def q31_state(s, d):
+    """What a stored count reads as: its number, and 0 for a missing, an empty or a broken one."""
+    stored = F.when(F.col("event_type") == "view", F.floor("value").cast("string")).when(F.col("event_type") == "click", F.col("props")).when(F.col("event_type") == "error", "")
+    return t(s, d, "events").select("event_id", number_or_zero(stored).alias("used"))
+
+
 @query("q32_feedback_validate", "SELECT event_id, CAST(CASE event_type WHEN 'error' THEN 400 WHEN 'purchase' THEN 500 WHEN 'signup' THEN 200 WHEN 'click' THEN 200 ELSE 200 END AS INTEGER) AS status FROM events")
 def q32(s, d):
     """Bodies made of the events' props: without a content, a JSON null, an array, a repeated key, and a text as content."""
@@ -304,6 +336,13 @@ def q32(s, d):
     return feedback.validated(t(s, d, "events").select("event_id", body.alias("body"))).select("event_id", "status")
 
 
+@query("q32_feedback_received", "SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click') THEN CAST(regexp_extract(props, '[0-9]+') AS BIGINT) END AS k FROM events")
+def q32_received(s, d):
+    """The relayed body, here the events' props; an empty or a missing one is an empty object."""
+    body = F.when(F.col("event_type") == "view", "").when(F.col("event_type") != "click", F.col("props"))
+    return feedback.received(t(s, d, "events").select("event_id", body.alias("body"))).select("event_id", F.variant_get("data", "$.k", "bigint").alias("k"))
+
+
 @query("q33_feedback_forward", f"""
 SELECT id, '{{"content":"' || event_type || '","type":null,"secret":"s3","ip":"' || client || '"}}' AS forward,
   CASE WHEN event_type <> 'click' AND value >= 50 THEN 200 ELSE 502 END AS status

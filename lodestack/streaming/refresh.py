@@ -47,10 +47,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_limits(spark: SparkSession, sf_dir: str, daily: int = DAILY) -> DataFrame:
-    """(client, day, valid, accepted) per client and UTC day."""
-    requests = route(derived(event_stream(spark, sf_dir)))
+    """(client, day, valid, accepted) per client and UTC day; counts leave the state when a day two days later is seen."""
+    midnight = F.timestamp_seconds(F.unix_date(F.to_date("ts")) * 86_400)  # the same in every session time zone
+    requests = route(derived(event_stream(spark, sf_dir))).withColumn("midnight", midnight).withWatermark("midnight", "2 days")
     valid = F.col("routed").isNull() & F.col("valid")
-    counted = requests.groupBy("client", F.to_date("ts").alias("day")).agg(F.sum(valid.cast("long")).alias("valid"))
+    counted = requests.groupBy("client", "midnight").agg(F.sum(valid.cast("long")).alias("valid"))
+    counted = counted.select("client", F.date_from_unix_date((F.unix_seconds("midnight") / 86_400).cast("int")).alias("day"), "valid")
     return run_available(spark, counted, "daily-limits", ("client", "day")).select("client", "day", "valid", F.least("valid", F.lit(daily)).alias("accepted"))
 
 
