@@ -279,9 +279,13 @@ def mask(df: DataFrame, forest: Forest, text: str = "text", path: str | None = N
         for b in batches:
             texts = b.column(at).to_pylist()
             paths = b.column(where).cast(pa.string()).to_pylist() if where is not None else [None] * len(texts)
-            for i, begin, end, _, p in reversed(_judged(sent.value, texts, paths, least)):
-                if p >= least:
-                    texts[i] = texts[i][:begin] + MASK + texts[i][end:]
+            found = (r for r in _judged(sent.value, texts, paths, least) if r[4] >= least)
+            for i, spans in itertools.groupby(found, key=lambda r: r[0]):
+                kept, at_end = [], 0
+                for _, begin, end, _, _ in spans:
+                    kept.append(texts[i][at_end:begin])
+                    at_end = end
+                texts[i] = MASK.join([*kept, texts[i][at_end:]])
             cols = list(b.columns)
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)

@@ -67,7 +67,7 @@ def _clean() -> None:
         try:
             remove(spark, path)
         except Exception:  # the session may be gone already
-            return
+            continue
 
 
 def parallelism(spark: SparkSession) -> int:
