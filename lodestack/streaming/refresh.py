@@ -47,7 +47,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_limits(spark: SparkSession, sf_dir: str, daily: int = DAILY) -> DataFrame:
-    """(client, day, valid, accepted) per client and UTC day; counts leave the state when a day two days later is seen."""
+    """(client, day, valid, accepted) per client and UTC day; counts leave the state when a day two days later is seen.
+
+    Requests that come in a later batch than such a day are too late to be counted: files should come in about the order of their days."""
     midnight = F.timestamp_seconds(F.unix_date(F.to_date("ts")) * 86_400)  # the same in every session time zone
     requests = route(derived(event_stream(spark, sf_dir))).withColumn("midnight", midnight).withWatermark("midnight", "2 days")
     valid = F.col("routed").isNull() & F.col("valid")
