@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, exact_dedup, near_dedup, packing, secrets, token_counts, token_files, toxicity, warc
+from . import ann, byte_bpe, exact_dedup, near_dedup, packing, piece_bpe, secrets, spelling, token_counts, token_files, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_warc": warc.query,
     "op10_ann": ann.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_piece_bpe": piece_bpe.query,
+    "op13_spelling_variants": spelling.query,
 }
 
-#: No SQL for base32 or for coding, learning and searching; op6 alone has an equivalent.
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.SQL}
+#: No SQL for base32, crc32 or for coding, learning and searching; op6 and op11 alone have an equivalent.
+ORACLE_SQL = {"op6_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.SQL}
