@@ -7,7 +7,7 @@ fixed defaults so that the SQL can repeat them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.web import number_or_zero
@@ -15,7 +15,9 @@ from lodestack.operators import feedback, refresh, report, search, trend
 from lodestack.sources import pages
 from lodestack.sources.tables import append_history, read_history, read_jsonl, shared_path, write_snapshot
 from lodestack.sources.tables import table as t
-from lodestack.streaming import refresh as streaming
+from lodestack.streaming.limits import LimitedRequests
+from lodestack.streaming.refresh import DailyCounts, RefreshedSnapshot
+from lodestack.streaming.runs import arrived
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -375,18 +377,39 @@ def q34(s, d):
     return feedback.mail_rows(payload, "s3", "box")
 
 
+def in_two_deliveries(s: SparkSession, d: str, first: Column, files_per_batch: int):
+    """The stream of a folder of events, twice: when the events of ``first`` were delivered, and when the others were too. A day's events of a delivery are in one file."""
+    events, path = t(s, d, "events"), shared_path(s, "arrivals")
+    for part in (first, ~F.coalesce(first, F.lit(False))):
+        events.where(part).repartition(4, F.to_date("ts")).write.mode("append").parquet(path)
+        yield arrived(s, path, events.schema, files_per_batch)
+
+
 @query("q35_feedback_stream_daily", f"""
 SELECT client, CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN method = 'POST' AND valid THEN 1 ELSE 0 END) AS BIGINT) AS valid,
   CAST(least(sum(CASE WHEN method = 'POST' AND valid THEN 1 ELSE 0 END), 10) AS BIGINT) AS accepted FROM ({_REQUESTS}) GROUP BY 1, 2""")
 def q35(s, d):
-    return streaming.daily_limits(s, d)
+    """The first half of the days in one run, the second in the next."""
+    counts = DailyCounts(s, shared_path(s, "daily-counts"))
+    for stream in in_two_deliveries(s, d, F.to_date("ts") < F.to_date(F.lit("2024-01-16")), 4):
+        counts.run(feedback.derived(stream))
+    return counts.read()
 
 
 @query("q36_refresh_available_now", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def q36(s, d):
-    return streaming.newest_versions(s, d)
+    """Users' newest events in a kept snapshot, refreshed by a second run, which reads the second delivery alone."""
+    events = t(s, d, "events")
+    kept = RefreshedSnapshot(s, shared_path(s, "refreshed"), events.schema, "user_id", ["ts", "event_id"])
+    for stream in in_two_deliveries(s, d, F.hour("ts") < 12, 2):
+        kept.run(stream)
+    return kept.snapshot.read().select("user_id", "event_id", "event_type")
 
 
 @query("q37_feedback_stream_decisions", f"SELECT id, client, status FROM ({_STATUS})")
 def q37(s, d):
-    return streaming.decided(s, d)
+    """The mornings of all days in one run, the afternoons in the next, which goes on with the counts of the first."""
+    decided = LimitedRequests(s, shared_path(s, "decided"))
+    for stream in in_two_deliveries(s, d, F.hour("ts") < 12, 2):
+        decided.run(feedback.derived(stream))
+    return decided.decisions.read().select("id", "client", "status")

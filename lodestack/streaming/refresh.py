@@ -1,96 +1,47 @@
-"""The daily buckets and the refresh as Structured Streaming queries that end when the input is read."""
+"""A kept snapshot that is refreshed by what has come since the last run, and daily counts that leave the state."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestack.operators.feedback import DAILY, derived, route
-from lodestack.sources.shipping import ship
-from lodestack.sources.tables import shared_path
+from lodestack.operators.feedback import DAILY, route
+from lodestack.streaming.commits import KeyedSnapshot
+from lodestack.streaming.runs import run
 
+COUNTED = "client string, day date, valid long, batch long"
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Runs a stateful query over what there is and returns its rows from the shared folder: all of them or, with ``keys``, the last of each key.
 
-    With ``keys`` a batch writes the rows that it changed, not the whole state."""
-    out, shape = shared_path(spark, name), stream.schema
-    batches = 0
+class RefreshedSnapshot:
+    """The newest row of each key of all that came; ``path`` has the snapshot and the query's checkpoint, and is the same in each run.
 
-    def keep(batch: DataFrame, number: int) -> None:
-        nonlocal batches
-        batches += 1
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+    The stream keeps no state: a batch is reduced to its newest rows and merged into the buckets that these fall into."""
 
-    writer = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", shared_path(spark, f"{name}-state"))
-    q = writer.trigger(availableNow=True).foreachBatch(keep).start()
-    try:
-        q.awaitTermination()  # ends with the input
-    finally:
-        q.stop()
-    if not batches:
-        return spark.createDataFrame([], shape)
-    rows = spark.read.schema(StructType(list(shape)).add("batch", "long")).parquet(out)
-    if not keys:
-        return rows.drop("batch")
-    last = F.max_by(F.struct(*[c for c in shape.names if c not in keys]), "batch").alias("last")
-    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, version: list[str], buckets: int = 16):
+        self._path = path.rstrip("/")
+        self.snapshot = KeyedSnapshot(spark, f"{self._path}/snapshot", schema, [key], version, buckets)
 
+    def run(self, stream: DataFrame) -> dict:
+        return run(stream, f"{self._path}/checkpoint", self.snapshot.merge, "append")
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    path = f"{sf_dir}/events.parquet"
-    # as a glob, the path may be a single file too
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
 
+class DailyCounts:
+    """(client, day, valid, accepted) per client and UTC day; counts leave the state when a day two days later is seen, and stay in the table.
 
-def daily_limits(spark: SparkSession, sf_dir: str, daily: int = DAILY) -> DataFrame:
-    """(client, day, valid, accepted) per client and UTC day; counts leave the state when a day two days later is seen.
+    Requests that come in a later batch than such a day are not counted: files should come in about the order of their days. Where each request needs its status, use ``limits``."""
 
-    Requests that come in a later batch than such a day are too late to be counted: files should come in about the order of their days."""
-    midnight = F.timestamp_seconds(F.unix_date(F.to_date("ts")) * 86_400)  # the same in every session time zone
-    requests = route(derived(event_stream(spark, sf_dir))).withColumn("midnight", midnight).withWatermark("midnight", "2 days")
-    valid = F.col("routed").isNull() & F.col("valid")
-    counted = requests.groupBy("client", "midnight").agg(F.sum(valid.cast("long")).alias("valid"))
-    counted = counted.select("client", F.date_from_unix_date((F.unix_seconds("midnight") / 86_400).cast("int")).alias("day"), "valid")
-    return run_available(spark, counted, "daily-limits", ("client", "day")).select("client", "day", "valid", F.least("valid", F.lit(daily)).alias("accepted"))
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = path.rstrip("/")
+        self.counts = KeyedSnapshot(spark, f"{self._path}/counts", StructType.fromDDL(COUNTED), ["client", "day"], ["batch"])
 
+    def run(self, requests: DataFrame) -> dict:
+        midnight = F.timestamp_seconds(F.unix_date(F.to_date("ts")) * 86_400)  # the same in every session time zone
+        routed = route(requests).withColumn("midnight", midnight).withWatermark("midnight", "2 days")
+        valid = F.col("routed").isNull() & F.coalesce("valid", F.lit(False))
+        counted = routed.groupBy("client", "midnight").agg(F.sum(valid.cast("long")).alias("valid"))
+        counted = counted.select("client", F.date_from_unix_date((F.unix_seconds("midnight") / 86_400).cast("int")).alias("day"), "valid")
+        return run(counted, f"{self._path}/checkpoint", lambda b, n: self.counts.merge(b.withColumn("batch", F.lit(n).cast("long")), n), "update")
 
-STATE, DECIDED = "used int", "id long, client string, day date, status int"
-
-
-def _decide(key, chunks, state):
-    """The statuses of a client's requests of one day in this batch; the state, how many were accepted, goes a day after the day's end."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    used = state.get[0] if state.exists else 0
-    rows = pd.concat(list(chunks)).sort_values(["ts", "id"])
-    statuses = []
-    for routed, valid in zip(rows["routed"], rows["valid"]):
-        if not pd.isna(routed):
-            statuses.append(int(routed))
-        elif used >= DAILY:
-            statuses.append(429)
-        else:
-            statuses.append(200 if valid else 400)
-            used += bool(valid)
-    state.update((used,))
-    state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1]).timestamp() * 1000) + 2 * 86_400_000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"id": rows["id"], "client": key[0], "day": key[1], "status": statuses})
-
-
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, client, status): each request decided in a stream with one state per client and UTC day, which expires."""
-    requests = route(derived(event_stream(spark, sf_dir))).withColumns({"ts": F.col("ts").cast("timestamp"), "day": F.to_date("ts")})
-    keyed = requests.withWatermark("ts", "1 day").select("id", "ts", "client", "day", "routed", "valid").groupBy("client", "day")
-    rows = keyed.applyInPandasWithState(_decide, DECIDED, STATE, "append", "EventTimeTimeout")
-    return run_available(spark, rows, "decided").select("id", "client", "status")
-
-
-def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, event_id, event_type): the newest event of each user."""
-    newest = event_stream(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))
-    return run_available(spark, newest, "refresh", ("user_id",)).select("user_id", "r.event_id", "r.event_type")
+    def read(self, daily: int = DAILY) -> DataFrame:
+        return self.counts.read().select("client", "day", "valid", F.least("valid", F.lit(daily)).alias("accepted"))
