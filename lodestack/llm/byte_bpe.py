@@ -57,7 +57,8 @@ def model_of_ranks(entries: list[bytes], pattern: str):
 def _worker(path: str, pattern: str):
     def make():
         entries = read_ranks(path)
-        encoder = chunks.PieceEncoder(model_of_ranks(entries, pattern), chunks.BYTE_PIECE, chunks.SPACED_WORD)
+        model = model_of_ranks(entries, pattern)
+        encoder = chunks.PieceEncoder(model, chunks.BYTE_PIECE, chunks.SPACED_WORD) if pattern == chunks.BYTE_PATTERN else chunks.WholeEncoder(model)
         return encoder, entries, np.array([len(e) for e in entries], np.int64)
 
     return chunks.once(("ranks", path, pattern), make)

@@ -11,6 +11,7 @@ so nothing depends on which Unicode version a regex engine has.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -27,6 +28,14 @@ SPACED_WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
 
 
+#: The pattern of the byte-level vocabularies, and how the one with word ends splits; for no other are the patterns below used.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_END_STEPS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+]
+
+
 def _pieces(letter: str, number: str, word_end: bool) -> re.Pattern:
     """The pattern of the byte-level vocabularies, or that of the vocabulary with word ends. Words come first, since most pieces are words and no other
     branch begins as they do."""
@@ -128,22 +137,74 @@ def parts(batches):
             yield b.slice(i, SLICE)
 
 
+class WholeEncoder:
+    """Ids of whole texts by the library alone, for tokenizers that split otherwise than the patterns here."""
+
+    def __init__(self, tokenizer):
+        self._tokenizer = tokenizer
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+class AddedTokens:
+    """Texts that may hold the string of an added token, as <|endoftext|>, are given to the library whole, which reads it as that token; the others to ``pieces``."""
+
+    def __init__(self, pieces: PieceEncoder, tokenizer, strings: list[str]):
+        self._pieces, self._whole = pieces, WholeEncoder(tokenizer)
+        self._held = re.compile("|".join(map(re.escape, strings)), re.IGNORECASE)  # the file may lower case first
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        held = [i for i, t in enumerate(texts) if t and self._held.search(t)]
+        if not held:
+            return self._pieces.encode(texts)
+        rest = list(texts)
+        for i in held:
+            rest[i] = None
+        out = self._pieces.encode(rest)
+        for i in held:
+            out[i] = self._whole.encode([texts[i]])[0]
+        return out
+
+
 def library(path: str):
-    """A tokenizer file of the tokenizers library, special strings read as ordinary text."""
+    """A tokenizer file of the tokenizers library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+def _split_here(path: str, word_ends: bool) -> tuple[bool, list[str]]:
+    """Whether a tokenizer file splits as the patterns here do, and the strings of its added tokens."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    strings = [t["content"] for t in file["added_tokens"]]
+    steps = file["pre_tokenizer"] or {}
+    steps = [{k: v for k, v in p.items() if k != "trim_offsets"} for p in steps.get("pretokenizers", [steps])]
+    before = file["normalizer"] or {}
+    plain = not file["model"].get("dropout") and not file["model"].get("continuing_subword_prefix") and (file["model"].get("end_of_word_suffix") or "") == ("</w>" if word_ends else "")
+    if word_ends:
+        folds = [n["type"] for n in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        return plain and folds and steps == WORD_END_STEPS, strings
+    return plain and not before and steps == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}], strings
+
+
+def _encoder(path: str, word_ends: bool):
+    tokenizer = library(path)
+    known, strings = _split_here(path, word_ends)
+    if not known:
+        return WholeEncoder(tokenizer)
+    pieces = PieceEncoder(tokenizer, WORD_PIECE, WORD, fold=True) if word_ends else PieceEncoder(tokenizer, BYTE_PIECE, SPACED_WORD)
+    return AddedTokens(pieces, tokenizer, strings) if strings else pieces
 
 
-def byte_level(path: str) -> PieceEncoder:
-    return once(("byte", path), lambda: PieceEncoder(library(path), BYTE_PIECE, SPACED_WORD))
+def byte_level(path: str):
+    return once(("byte", path), lambda: _encoder(path, False))
 
 
-def word_end(path: str) -> PieceEncoder:
-    return once(("word", path), lambda: PieceEncoder(library(path), WORD_PIECE, WORD, fold=True))
+def word_end(path: str):
+    return once(("word", path), lambda: _encoder(path, True))
 
 
 def slices(texts: list[str | None], most: int = 1_000_000):

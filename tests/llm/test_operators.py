@@ -59,7 +59,7 @@ def test_offsets():
 
 def test_table_limit_changes_nothing():
     texts = [t for t in ODD if t] * 2
-    whole = chunks.byte_level(P.path("byte_bpe_50k.json")).encode(texts)
+    whole = chunks.PieceEncoder(chunks.library(P.path("byte_bpe_50k.json")), chunks.BYTE_PIECE, chunks.SPACED_WORD).encode(texts)
     small = chunks.PieceEncoder(chunks.library(P.path("byte_bpe_50k.json")), chunks.BYTE_PIECE, chunks.SPACED_WORD, limit=3)
     assert [small.encode([t])[0] for t in texts] == whole
 
@@ -522,3 +522,59 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_added_tokens_are_read_as_the_library_reads_them(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a<|EndOfText|>b <|endoftext|><|endoftext|>", "plain", "", "é <|endoftext", "日本<|endoftext|>語"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, make in (("byte_bpe_50k.json", chunks.byte_level), ("word_bpe_49k.json", chunks.word_end)):
+        plain = Tokenizer.from_file(P.path(name))
+        assert [np.frombuffer(x, "<u4").tolist() for x in make(P.path(name)).encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    packed = packing.pack_documents(spark, df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {i: 1 + len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_op1_splits_by_its_pattern(spark):
+    import tiktoken
+
+    path, text = P.path("byte_bpe_multi_50k.tiktoken"), "hello world 12345 it's é 日本"
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    for pattern in (P.PATTERN, r"\p{N}|\p{L}+|\s+|[^\s\p{L}\p{N}]+"):
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        r = byte_bpe.decode(byte_bpe.encode(spark.createDataFrame([(text,)], "text string"), path, pattern), path, pattern).first()
+        assert np.frombuffer(r["ids"], "<u4").tolist() == own.encode_ordinary(text) and r["decoded"] == text
+
+
+@pytest.mark.parametrize("text, value", [
+    ('password: "correct horse battery 9"', "correct horse battery 9"), ('{"password":"p@ss w0rd12"}', "p@ss w0rd12"), ("SECRET_FOR_PRODUCTION_DATABASE_A=hunter2x!", "hunter2x!"),
+    ("https://u:pa/ss1word@host", "pa/ss1word"), ("https://u:p@ss1word@host/x", "p@ss1word"), ('token = "' + "ab12" * 10 + '"###', "ab12" * 10), ('api_key="abc123XYZ9"|next', "abc123XYZ9"),
+    ("password='Tr0ub4dor!x9'.encode()", "Tr0ub4dor!x9"), ('pass = b"abc\\"def12" + 1', 'abc\\"def12'), ('password="unclosed1 x', "unclosed1"), ('pwd "ab cd12 ef"', "ab cd12 ef"),
+])
+def test_op8_spans_of_quoted_and_other_values(text, value):
+    spans = [text[b:e] for b, e, _ in secrets.candidates(text)]
+    assert value in spans and all(s in value for s in spans)
+
+
+def test_op8_takes_time_in_proportion_to_a_hostile_text():
+    import time
+
+    assert secrets.candidates("http://host:8080/p?x=a@b.com") == []
+    for run in ("eyJabcdefgh-", "secret", "password=", "password='", "http://a:", "http://a:@", 'token "', "token-"):
+        took = []
+        for size in (100_000, 800_000):
+            began = time.process_time()
+            secrets.candidates(run * (size // len(run)))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.02), run  # 8 times the text; by the square it would be 64
+
+
+def test_op8_spans_of_tokens_in_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = secrets.scan(docs, secrets.train(spark)).where("is_secret").collect()
+    values = [text[r["doc_id"]][r["begin"] : r["end"]] for r in found]
+    assert len(values) == 13 and not any(c in v for v in values for c in "\"'# \n")
