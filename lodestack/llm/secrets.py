@@ -31,8 +31,12 @@ from .shared import ship
 #: Telling names; what follows a closing quote; what is not a value but a name with its own to come.
 _TELLING = r"pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key|access[_-]?key"
 _CLOSED = r"[\s,;:)}\]>/\"'&]|\Z"
-_OTHER_NAME = rf"(?i:(?:{_TELLING})[\w-]{{0,20}}[\"']?\s{{0,3}}[:=])"
-#: Candidate patterns by rule. The value is the group named v, or all. Values have no greatest length: their runs
+_OTHER_NAME = rf"(?i:(?:{_TELLING})[\w-]*+[\"']?\s{{0,3}}[:=])"
+_MIXED, _SCHEME = r"(?:[0-9!@#$%^&*]|[a-z][A-Z])", r"(?:(?i:basic|bearer|token)\s{1,3})?"
+# a value in quotes ends at the same quote unless that is escaped, and may hold spaces; any other ends at white space
+_QUOTED = rf"(?:[bfruBFRU]{{1,2}}(?=[\"']))?(?P<q>[\"'])%s{_SCHEME}(?!{_OTHER_NAME})(?P<w>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)"
+_OPEN = rf"[\"']?{_SCHEME}(?![\"'])(?!{_OTHER_NAME})(?P<v>(?=[^\s]{{6}})[^\s\"']++(?:[\"'](?!{_CLOSED})[^\s\"']*+)*+)"
+#: Candidate patterns by rule. The value is the group named v or w, or all. Values have no greatest length: their runs
 #: are possessive and begin once each, so the time stays in proportion to the text.
 RULES = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\s\S]){16}[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----",
@@ -41,9 +45,9 @@ RULES = {
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "google_key": r"\bAIza[A-Za-z0-9_-]{35}",
     "stripe_key": r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "url_password": r"://(?<=[A-Za-z0-9+.-]{2}://)[^\s:/@]*+:(?P<v>[^\s:/@]{3,}+)@",
-    "assigned": rf"(?i:{_TELLING})[\w-]{{0,20}}(?:[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}[\"']?(?:(?i:basic|bearer|token)\s{{1,3}})?|[ \t][\"']?(?=[^\s\"']*(?:[0-9!@#$%^&*]|[a-z][A-Z])))(?![\"'])(?!{_OTHER_NAME})(?P<v>(?=[^\s]{{6}})[^\s\"']++(?:[\"'](?!{_CLOSED})[^\s\"']*+)*+)",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    "url_password": r"://(?<=[A-Za-z0-9+.-]{2}://)[^\s:/@]*+:(?!\d{1,5}[/?#])(?P<v>(?:(?!://)[^\s\"'<>]){3,})@(?=[\w\[])",
+    "assigned": rf"(?<![\w-])(?=[\w-]*?(?i:{_TELLING}))[\w-]++(?:[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}(?:{_QUOTED % ''}|{_OPEN})|[ \t](?:{_QUOTED.replace('<q>', '<q2>').replace('<w>', '<w2>').replace('P=q', 'P=q2') % f'(?=[^\"\'\\n]*{_MIXED})'}|[\"']?(?=[^\s\"']*{_MIXED}){_OPEN.replace('<v>', '<v2>')}))",
     "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}+",
 }
 #: Words whose nearness speaks for a secret, against one; path parts against one; common words of code and prose.
@@ -71,8 +75,9 @@ def candidates(text: str | None) -> list[tuple[int, int, int]]:
     """(begin, end, rule) of each candidate, by begin; they may overlap."""
     found = set()
     for r, (name, pattern) in enumerate(_RULES):
-        g = "v" if "v" in pattern.groupindex else 0
+        groups = [g for g in ("v", "w", "v2", "w2") if g in pattern.groupindex]
         for m in pattern.finditer(text or ""):
+            g = next((g for g in groups if m[g] is not None), 0)
             if name == "long_token" and "=" in m.group():
                 found.update(_behind_names(m.start(), m.group(), r))
             elif name != "assigned" or m.end(g) - m.start(g) >= 6:
