@@ -33,7 +33,7 @@ from .shared import ship
 #: Fixed value: the mark for a space.
 MARK = "▁"
 LETTER = re.compile(f"[{chunks.LETTER}]")
-PAIRS, OBJECT, NONE = 1_000_000, 160, -float("inf")
+LIMIT, PAIRS, OBJECT, NONE = 160 << 20, 1_000_000, 160, -float("inf")
 
 
 def _fields(raw: bytes):
@@ -185,25 +185,25 @@ class _Known(dict):
         return out
 
 
-def run_pattern(pieces, byte_pieces: bool) -> re.Pattern:
-    """The runs into which texts may be cut: no piece holds characters of two runs. Spaces are spaces here."""
+def run_patterns(pieces, byte_pieces: bool) -> tuple[re.Pattern, re.Pattern]:
+    """The runs into which texts, and ASCII texts, may be cut: no piece holds characters of two runs. Spaces are spaces here."""
     pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:])}
     if any(b == MARK and a != MARK for a, b in pairs):
-        return re.compile("(?s).+")
+        return re.compile("(?s).+"), re.compile("(?s).+")
     ascii_rest = [chr(c) for c in range(128) if chr(c) not in " " and not chr(c).isalpha()]
     held = set("".join(pieces))
     alone = {c for c in ascii_rest if c not in held} if byte_pieces else set()  # without byte pieces, runs of unknown characters count as one
     signs = {c for c in ascii_rest if c in held and not any(b == c and LETTER.match(a) for a, b in pairs)}
     each = lambda chars: "".join(map(re.escape, sorted(chars)))
-    other = f"[^ {each(alone)}]"
-    word = f" *[{chunks.LETTER}]++(?![^ {each(alone | signs)}])"  # a word up to a space, a sign or the end
-    return re.compile(f"{word}| *{other}+" + (f"|[{each(alone)}]" if alone else "") + "| +")
+    word = lambda letters: f" *[{letters}]++(?![^ {each(alone | signs)}])"  # noqa: E731  a word up to a space, a sign or the end
+    rest = f"| *[^ {each(alone)}]+" + (f"|[{each(alone)}]" if alone else "") + "| +"
+    return re.compile(word(chunks.LETTER) + rest), re.compile(word("A-Za-z") + rest)
 
 
 class TextEncoder:
-    def __init__(self, model: Model, limit: int = chunks.LIMIT):
+    def __init__(self, model: Model, limit: int = LIMIT):
         self._model, self._limit, self._encoder = model, limit, BacktrackingEncoder(model.scores)
-        self._runs = run_pattern(model.ids, model.bytes is not None)
+        self._runs, self._ascii_runs = run_patterns(model.ids, model.bytes is not None)
         self._known = _Known(model, self._encoder)
 
     def encode(self, text: str | None) -> bytes:
@@ -211,8 +211,30 @@ class TextEncoder:
             return b""
         if self._known.size > self._limit:
             self._known = _Known(self._model, self._encoder)
+        runs = self._ascii_runs if text.isascii() else self._runs
         text = text.replace(MARK, " ")
-        return b"".join(map(self._known.__getitem__, self._runs.findall(" " + text if self._model.space_in_front else text)))
+        return b"".join(map(self._known.__getitem__, runs.findall(" " + text if self._model.space_in_front else text)))
+
+
+class Decoder:
+    """Pieces joined, and spaces for marks. Ids of control and unknown pieces and of bytes beyond ASCII, which may make up a character together, are left to the library."""
+
+    def __init__(self, model: Model):
+        self._library, self._front, self._end = model.library, model.space_in_front, model.end
+        self._shown: list[str | None] = [None] * model.library.get_piece_size()
+        for p, i in model.ids.items():
+            self._shown[i] = p.replace(MARK, " ")
+        for b, i in enumerate(model.bytes[:128] if model.bytes else []):
+            self._shown[i] = chr(b)
+        self._marked = {i for p, i in model.ids.items() if p[0] == MARK}
+
+    def decode(self, ids: list[int]) -> str:
+        body = ids[:-1] if ids and ids[-1] == self._end else ids
+        try:
+            text = "".join(map(self._shown.__getitem__, body))
+        except (TypeError, IndexError):  # a piece that is not shown here
+            return self._library.decode(ids)
+        return text[1:] if self._front and body and body[0] in self._marked else text
 
 
 def _worker(path: str) -> tuple[Model, TextEncoder]:
@@ -251,19 +273,13 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     at, names = df.columns.index("ids"), [*df.columns, "decoded"]
 
     def run(batches):
-        library = chunks.once(("decode", path), lambda: _library(path))
+        decoder = chunks.once(("decode", path), lambda: Decoder(Model(path)))
         for b in chunks.parts(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([library.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([decoder.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], names)
 
     return df.mapInArrow(run, StructType(list(df.schema)).add("decoded", "string"))
 
 
-def _library(path: str):
-    from sentencepiece import SentencePieceProcessor
-
-    return SentencePieceProcessor(model_file=path)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12_piece_bpe."""
     import public_tokenizers as P

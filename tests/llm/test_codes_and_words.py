@@ -131,6 +131,16 @@ def test_op12_backtracks_and_agrees_with_merging():
     assert failed
 
 
+def test_op12_decoder_is_the_librarys():
+    model = piece_bpe.Model(MODEL)
+    decoder, rng = piece_bpe.Decoder(model), random.Random(8)
+    for low, high in ((3, 32000), (0, 400), (3, 131), (259, 275), (0, 32000)):
+        for _ in range(1500):
+            ids = [rng.randrange(low, high) for _ in range(rng.randrange(8))]
+            assert decoder.decode(ids) == model.library.decode(ids)
+            assert decoder.decode([*ids, model.end]) == model.library.decode([*ids, model.end])
+
+
 def test_op12_query_and_odd_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     odd = [None, "", " ", "the cat", "the cat", "x" * 3000 + " y", "word " * 5000, "ab\0cd", "é\n\n  日本 😀", "</s>"]
