@@ -36,6 +36,16 @@ def change(events: DataFrame, as_of: str, days: int) -> DataFrame:
     return total.select("user_id", F.col("now").cast("double").alias("now"), (F.col("now") - F.col("base")).cast("double").alias("trend"))
 
 
+def changes(events: DataFrame, periods: list[int]) -> DataFrame:
+    """(user_id, day, value, change_<days>...): for every day of a pack, its cumulative value less that at the last day not after so many days before.
+
+    The frames are ranges of day numbers, so days without a value need no rows; without a day to compare with, a change is null."""
+    w = Window.partitionBy("user_id").orderBy("n")
+    total = daily(events).withColumn("n", F.unix_date("day")).withColumn("total", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    since = [(F.col("total") - F.last("total").over(w.rangeBetween(Window.unboundedPreceding, -d))).cast("double").alias(f"change_{d}") for d in periods]
+    return total.select("user_id", "day", F.col("v").cast("double").alias("value"), *since)
+
+
 def period(events: DataFrame, begin: str, end: str) -> DataFrame:
     """(user_id, gained): the sum over the days from ``begin`` to ``end``, both included."""
     day = F.to_date("ts")

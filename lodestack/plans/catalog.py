@@ -7,13 +7,15 @@ fixed defaults so that the SQL can repeat them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.web import number_or_zero
-from lodestack.operators import feedback, refresh, report, search, trend
+from lodestack.operators import facets, feedback, postings, refresh, report, search, trend
 from lodestack.sources import pages
-from lodestack.sources.tables import append_history, read_history, read_jsonl, shared_path, write_snapshot
+from lodestack.sources.tables import append_history, kept, read_history, read_jsonl, shared_path, write_snapshot
 from lodestack.sources.tables import table as t
 from lodestack.streaming.limits import LimitedRequests
 from lodestack.streaming.refresh import DailyCounts, RefreshedSnapshot
@@ -413,3 +415,91 @@ def q37(s, d):
     for stream in in_two_deliveries(s, d, F.hour("ts") < 12, 2):
         decided.run(feedback.derived(stream))
     return decided.decisions.read().select("id", "client", "status")
+
+
+@query("q38_postings_any", "SELECT DISTINCT l_orderkey AS pack_id FROM lineitem WHERE l_partkey IN (1, 2, 3)")
+def q38_any(s, d):
+    return postings.any_of(postings.by_mod(t(s, d, "lineitem")), F.col("mod_id").isin(1, 2, 3)).select(F.col("id").alias("pack_id"))
+
+
+@query("q38_postings_all", "SELECT l_orderkey AS pack_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name IN ('small ring', 'red widget') GROUP BY 1 HAVING count(DISTINCT p_name) = 2")
+def q38_all(s, d):
+    """Packs with a mod of each of two names, by the mods' posting lists."""
+    named = t(s, d, "part").where(F.col("p_name").isin("small ring", "red widget")).select(F.col("p_partkey").alias("mod_id"), "p_name")
+    lists = postings.by_mod(t(s, d, "lineitem")).join(named, "mod_id")
+    return postings.all_of(lists, F.col("p_name"), 2).select(F.col("id").alias("pack_id"))
+
+
+@query("q38_postings_reverse", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 1)")
+def q38_reverse(s, d):
+    packs = postings.any_of(postings.by_mod(t(s, d, "lineitem")), F.col("mod_id") == 1)
+    return t(s, d, "orders").select("o_orderkey", "o_orderpriority").join(packs.withColumnRenamed("id", "o_orderkey"), "o_orderkey", "left_semi")
+
+
+@query("q38_postings_table", "SELECT l_partkey AS mod_id, l_orderkey // 4096 AS block, min(l_orderkey) AS first, max(l_orderkey) AS last, CAST(count(DISTINCT l_orderkey) AS INTEGER) AS n FROM lineitem GROUP BY 1, 2")
+def q38_table(s, d):
+    return postings.by_mod(t(s, d, "lineitem")).drop("ids")
+
+
+@query("q39_indexed_search", """
+SELECT 'name' AS search, p_partkey AS id FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_name), 'small')
+UNION ALL SELECT 'description', doc_id FROM documents WHERE contains(lower(text), 'ention')
+UNION ALL SELECT DISTINCT 'comments', conv_id FROM conversations WHERE contains(lower(text), 'the')
+UNION ALL SELECT DISTINCT 'tags', l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_brand), 'brand#1')
+UNION ALL SELECT DISTINCT 'mods', l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'widget')
+UNION ALL SELECT 'short', doc_id FROM documents WHERE contains(lower(text), '11')""")
+def q39(s, d):
+    """The searches of q05 to q09, and one by two characters, by an index of all five fields; mods and tags lead to packs by the mods' posting lists."""
+    part, comments = t(s, d, "part"), t(s, d, "conversations")
+    text = lambda df, field, key, column: df.select(F.lit(field).alias("field"), F.col(key).alias("id"), F.col(column).alias("text"))
+    fields = [text(part, "name", "p_partkey", "p_name"), text(t(s, d, "documents"), "description", "doc_id", "text"), text(comments, "comments", "conv_id", "text"), text(part, "tags", "p_partkey", "p_brand")]
+    index = postings.TextIndex(reduce(DataFrame.unionByName, fields))
+    packs = postings.by_mod(t(s, d, "lineitem"))
+    of_mods = lambda mods: postings.ids(packs.join(mods.withColumnRenamed("id", "mod_id"), "mod_id", "left_semi").drop("mod_id")).distinct()
+    found = {
+        "name": index.search("name", "Ring", "small"), "description": index.search("description", "ention"),
+        "comments": index.search("comments", "the"),
+        "tags": of_mods(index.search("tags", "brand#1")), "mods": of_mods(index.search("name", "widget")), "short": index.search("description", "11"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("search"), "id") for k, df in found.items()])
+
+
+_CHOSEN = {"category": [URGENT, "2-HIGH"], "tag": TAGS, "type": ["PROMO"], "year": ["1996", "1997"]}
+
+
+@query("q40_facet_counts_beside_filters", f"""
+WITH v AS (SELECT o_orderkey AS pack, 'category' AS facet, o_orderpriority AS value FROM orders
+  UNION SELECT o_orderkey, 'year', CAST(year(o_orderdate) AS VARCHAR) FROM orders
+  UNION SELECT l_orderkey, 'tag', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION SELECT l_orderkey, 'type', p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
+ok AS (SELECT pack, count(DISTINCT facet) AS n, bool_or(facet = 'category') AS category, bool_or(facet = 'tag') AS tag, bool_or(facet = 'type') AS type, bool_or(facet = 'year') AS year
+  FROM v WHERE {' OR '.join(f"facet = '{f}' AND value IN ({', '.join(repr(x) for x in xs)})" for f, xs in _CHOSEN.items())} GROUP BY 1)
+SELECT facet, value, count(*) FILTER (coalesce(ok.n, 0) - CASE WHEN coalesce(CASE facet WHEN 'category' THEN category WHEN 'tag' THEN tag WHEN 'type' THEN type ELSE year END, false) THEN 1 ELSE 0 END = 3) AS packs
+FROM v LEFT JOIN ok USING (pack) GROUP BY 1, 2""")
+def q40(s, d):
+    """Each of four facets counted under the filters of the other three."""
+    orders, l, p = t(s, d, "orders"), t(s, d, "lineitem"), t(s, d, "part")
+    mods = l.select("l_orderkey", "l_partkey").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey")
+    row = lambda df, facet, value, key: df.select(F.lit(facet).alias("facet"), value.cast("string").alias("value"), F.col(key).alias("id"))
+    values = [row(orders, "category", F.col("o_orderpriority"), "o_orderkey"), row(orders, "year", F.year("o_orderdate"), "o_orderkey"), row(mods, "tag", F.col("p_brand"), "l_orderkey"), row(mods, "type", F.col("p_type"), "l_orderkey")]
+    return facets.counts(kept(facets.bitmaps(reduce(DataFrame.unionByName, values)), "facets"), _CHOSEN)
+
+
+@query("q41_trend_changes_daily", f"""
+WITH d AS ({_DAILY}), c AS (SELECT user_id, day, v, sum(v) OVER (PARTITION BY user_id ORDER BY day) AS total FROM d)
+SELECT user_id, day, CAST(v AS DOUBLE) AS value,
+  CAST(total - last_value(total) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 7 DAY PRECEDING) AS DOUBLE) AS change_7,
+  CAST(total - last_value(total) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 30 DAY PRECEDING) AS DOUBLE) AS change_30
+FROM c""")
+def q41(s, d):
+    return trend.changes(t(s, d, "events"), [7, 30])
+
+
+@query("q42_board_parts", "SELECT doc_id, lang, source FROM documents")
+def q42(s, d):
+    """The rows of documents as a board's page loads them, read back from its parts."""
+    path = shared_path(s, "board")
+    docs = t(s, d, "documents").select("doc_id", "lang", "source")
+    report.write_board(docs, path, "Documents", "doc_id", "lang")
+    line = F.expr("substring(value, 5, length(value) - 6)")
+    return s.read.text(f"{path}/data").select(F.from_json(line, docs.schema).alias("r")).select("r.*")
