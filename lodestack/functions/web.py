@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,69 +9,6 @@ from pyspark.sql import functions as F
 _EDGES = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 
 
-#: The characters that scripts trim.
-_TRIM = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-
-
-def parsed(text: str):
-    """A JSON text's value as scripts read it: the last of repeated keys counts, NaN and Infinity are errors; ValueError for bad ones."""
-
-    def no(name):
-        raise ValueError(name)
-
-    return json.loads(text, parse_constant=no)
-
-
-def is_true(value) -> bool:
-    """Truth of a parsed value: empty arrays and objects are true."""
-    return bool(value) or isinstance(value, (list, dict))
-
-
-def shown_number(value: float) -> str:
-    sign, x = ("-", -value) if value < 0 else ("", value)
-    if x == 0:
-        return "0"
-    if x == float("inf"):
-        return sign + "Infinity"
-    head, _, power = f"{x!r}e0".partition("e")
-    whole, _, part = head.partition(".")
-    digits = (whole + part).rstrip("0") if part.strip("0") else whole.rstrip("0")
-    point = len(whole) + int(power.split("e")[0])
-    point -= len(digits) - len(digits.lstrip("0"))
-    digits = digits.lstrip("0")
-    if len(digits) <= point <= 21:
-        return sign + digits.ljust(point, "0")
-    if 0 < point <= 21:
-        return f"{sign}{digits[:point]}.{digits[point:]}"
-    if -6 < point <= 0:
-        return f"{sign}0.{'0' * -point}{digits}"
-    rest = "." + digits[1:] if len(digits) > 1 else ""
-    return f"{sign}{digits[0]}{rest}e{'+' if point > 0 else '-'}{abs(point - 1)}"
-
-
-def shown(value) -> str:
-    """A parsed value as text; TypeError for an object that hides its own way to become one."""
-    if isinstance(value, str):
-        return value
-    if value is None or isinstance(value, bool):
-        return {None: "null", True: "true", False: "false"}[value]
-    if isinstance(value, (int, float)):
-        try:
-            return shown_number(float(value))
-        except OverflowError:
-            return "-Infinity" if value < 0 else "Infinity"
-    if isinstance(value, list):
-        return ",".join("" if v is None else shown(v) for v in value)
-    if "toString" in value:
-        raise TypeError("toString")
-    return "[object Object]"
-
-
-def trimmed_length(text: str) -> int:
-    """Length in UTF-16 units without white space at the ends."""
-    return len(text.strip(_TRIM).encode("utf-16-le", "surrogatepass")) // 2
-
-
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, _EDGES, "")
 
@@ -98,10 +33,30 @@ def truthy(value: Column) -> Column:
     text = F.try_variant_get(value, "$", "string")
     number = F.try_variant_get(value, "$", "double")
     return F.coalesce(
-        F.when(kind == "VOID", F.lit(False))
+        F.when(value.isNull() | (kind == "VOID"), F.lit(False))
         .when(kind == "STRING", text != "")
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), (number != 0) & ~F.isnan(number))
         .otherwise(F.lit(True)),
         F.lit(False),
     )
+
+
+#: What JSON texts may not have, though Spark's reader would take it.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def read_object(text: Column, fields: str) -> Column:
+    """An array with the JSON object in ``text`` as a struct of ``fields``, or with null for a JSON null; null where the text is no JSON or no object.
+
+    The text is read in brackets with a null behind it, so that anything else behind its value shows. A byte order mark in front is left out; the last of repeated keys counts."""
+    inside = F.concat(F.lit("["), F.regexp_replace(F.coalesce(text, F.lit("")), "^\\x{FEFF}", ""), F.lit(",null]"))
+    read = F.from_json(inside, f"array<struct<{fields}>>", STRICT)
+    return F.when((F.size(read) == 2) & F.get(read, F.lit(1)).isNull(), F.slice(read, 1, 1))
+
+
+def shown(value: Column) -> Column:
+    """A variant value as the text that scripts make of it: the parts of a flat array joined by commas, a fixed text for an object."""
+    kind = F.schema_of_variant(value)
+    joined = F.array_join(F.try_variant_get(value, "$", "array<string>"), ",", "")
+    return F.when(kind.startswith("OBJECT"), "[object Object]").when(kind.startswith("ARRAY"), joined).otherwise(F.try_variant_get(value, "$", "string"))

@@ -25,13 +25,21 @@ def test_validation_of_what_scripts_make_of_values(spark):
     words = lambda n: '{"content":[' + ",".join(['"seven77"'] * n) + "]}"
     cases = {
         "\nnull": 500, '{"content":"a","content":"b"}': 200, '{"content":"a","content":""}': 400, '{"x":1,"x":2,"content":"hi"}': 200,
-        '{"content":{"a":"' + "b" * 5000 + '"}}': 200, words(450): 200, words(501): 400, '{"content":{"toString":1}}': 500, "[1]": 400, '"x"': 400, "3": 400, '{"content":1e999}': 200,
+        '{"content":{"a":"' + "b" * 5000 + '"}}': 200, words(450): 200, words(501): 400, '{"content":[1,null,1.5,true]}': 200, "[1]": 400, '"x"': 400, "3": 400, '{"content":1e999}': 200,
     }
     rows = feedback.validated(spark.createDataFrame([(b,) for b in cases], "body string")).collect()
     assert {r["body"][:40]: r["status"] for r in rows} == {b[:40]: s for b, s in cases.items()}
-    numbers = {1e16: "10000000000000000", 1e21: "1e+21", 1.5e-7: "1.5e-7", 1e-6: "0.000001", 123.25: "123.25", -0.0: "0", 12300.0: "12300", 1.2345e22: "1.2345e+22", 5e-324: "5e-324", 100.0: "100", -2.0: "-2"}
-    assert {x: web.shown_number(x) for x in numbers} == numbers
-    assert web.shown([None, [1, "a", None], {}, True]) == ",1,a,,[object Object],true"
+
+
+def test_no_body_fails_the_job(spark):
+    bodies = {
+        '{"content":' + "[" * 3000 + "]" * 3000 + "}": 400, '{"content":' + "9" * 5000 + "}": 400, '\ufeff{"content":"x"}': 200, '{"content":"x"}{"content":"y"}': 400, '{"content":"x"},{"content":"y"}': 400,
+        '{"content":"x"}]': 400, "]": 400, "[": 400, '{"content":"\\ud800"}': 200, '{"content":{"a":1,"a":2}}': 400, '{"content":[[1],{"a":2}]}': 200, "\0": 400, '{"content":-0.0}': 400, '{"content":0e5}': 400,
+    }
+    rows = feedback.validated(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
+    assert {r["body"][:30]: r["status"] for r in rows} == {b[:30]: s for b, s in bodies.items()}
+    replies = spark.createDataFrame([(True, b) for b in bodies], "up boolean, reply string")
+    assert {r["status"] for r in feedback.answered(replies, "up", "reply").collect()} == {502}
 
 
 def test_replies_keys_and_received_bodies(spark):
@@ -40,8 +48,15 @@ def test_replies_keys_and_received_bodies(spark):
     assert all(r["status"] == r["want"] for r in got)
     bodies = feedback.received(spark.createDataFrame([("",), (None,), ('{"a":1}',)], "body string"))
     assert [r[0] for r in bodies.select(F.to_json("data")).collect()] == ["{}", "{}", '{"a":1}']
-    with pytest.raises(Exception):
-        feedback.received(spark.createDataFrame([("{",)], "body string")).collect()
+    for bad in ("{", '{"a":1}x', '{"a":1}]', '1],[2', '{"a":1},{"a":2}', '{"a":1,"a":2}', " "):
+        with pytest.raises(Exception):
+            feedback.received(spark.createDataFrame([(bad,)], "body string")).collect()
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    try:
+        last = feedback.received(spark.createDataFrame([('{"a":1,"a":2}',)], "body string"))
+        assert last.select(F.to_json("data")).first()[0] == '{"a":2}'
+    finally:
+        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
     keys = spark.createDataFrame([(None, datetime.datetime(2024, 1, 2, 3))], "ip string, ts timestamp_ntz").select(feedback.limit_key(F.col("ip"), F.col("ts")))
     assert keys.first()[0] == "feedback:unknown:2024-01-02"
 
