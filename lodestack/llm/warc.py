@@ -75,9 +75,12 @@ def classified(pages: DataFrame, page_id: str, url: str, html: str, least: int)
     """(page_id, url, html, response_id): ``response_id`` is the id of the record with the same payload that is the response."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     keyed = rows.withColumns({"_d": F.concat(F.sha1("html"), F.substring(F.sha2("html", 256), 1, 16)), "_n": F.octet_length("html")})
-    best = keyed.groupBy("_d", "_n").agg(F.max("page_id").alias("_best"))
-    out = keyed.join(best, ["_d", "_n"])
-    return out.select("page_id", "url", "html", F.when(F.col("_n") >= least, F.col("_best")).otherwise(F.col("page_id")).alias("response_id"))
+    # which record is the response is told by ids and digests alone, however many pages share a payload; pages then meet their verdict by id
+    narrow = written(keyed.select("page_id", "_d", "_n"), "warc-digests")
+    best = narrow.groupBy("_d", "_n").agg(F.max("page_id").alias("_best"))
+    verdict = narrow.distinct().join(best, ["_d", "_n"]).select(F.col("page_id").alias("_p"), F.col("_d").alias("_e"), F.when(F.col("_n") >= least, F.col("_best")).otherwise(F.col("page_id")).alias("response_id"))
+    out = keyed.join(verdict, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_d") == F.col("_e")))
+    return out.select("page_id", "url", "html", "response_id")
 
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, folder: str | None = None) -> DataFrame:

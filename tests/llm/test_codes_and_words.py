@@ -245,3 +245,14 @@ def test_neighbourhoods_are_whole_and_distinct(monkeypatch, at_once):
             found += [hashes[int(x)] for x in h[~np.broadcast_to(out, h.shape)]]
         want = {word[:k] + word[k + 1 :] for k in range(len(word))} | {word[:k] + c + word[k + j :] for k in range(len(word) + 1) for c in alphabet for j in (0, 1) if k + j <= len(word)}
         assert sorted(found) == sorted(want - {word})
+
+
+def test_op9_where_ids_are_null_or_repeat(spark):
+    from lodestack.llm import warc
+
+    rows = [(1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (3, "u", None), (4, None, ""), (5, "u", "own"), (5, "u", "other"), (5, "u", "same"), (None, "u", "alone")]
+    got = warc.read(warc.write(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, _d int"))).collect()
+    assert len(got) == len(rows)
+    shown = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got), key=repr)
+    want = [(1, 4, "revisit", 5), (2, 4, "revisit", 5), (5, 4, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 3, "response", None), (5, 5, "response", None), (None, 4, "revisit", 5), (None, 5, "response", None)]
+    assert shown == sorted(want, key=repr)
