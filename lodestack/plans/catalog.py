@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.web import number_or_zero
-from lodestack.operators import facets, feedback, postings, refresh, report, search, trend
+from lodestack.operators import comments, facets, feedback, postings, refresh, report, search, trend
 from lodestack.sources import pages
-from lodestack.sources.tables import append_history, kept, read_history, read_jsonl, shared_path, write_snapshot
+from lodestack.sources.tables import append_history, compact_history, kept, read_history, read_jsonl, shared_path, write_snapshot
 from lodestack.sources.tables import table as t
 from lodestack.streaming.limits import LimitedRequests
 from lodestack.streaming.refresh import DailyCounts, RefreshedSnapshot
@@ -450,9 +450,9 @@ UNION ALL SELECT DISTINCT 'mods', l_orderkey FROM lineitem JOIN part ON l_partke
 UNION ALL SELECT 'short', doc_id FROM documents WHERE contains(lower(text), '11')""")
 def q39(s, d):
     """The searches of q05 to q09, and one by two characters, by an index of all five fields; mods and tags lead to packs by the mods' posting lists."""
-    part, comments = t(s, d, "part"), t(s, d, "conversations")
+    part, said = t(s, d, "part"), t(s, d, "conversations")
     text = lambda df, field, key, column: df.select(F.lit(field).alias("field"), F.col(key).alias("id"), F.col(column).alias("text"))
-    fields = [text(part, "name", "p_partkey", "p_name"), text(t(s, d, "documents"), "description", "doc_id", "text"), text(comments, "comments", "conv_id", "text"), text(part, "tags", "p_partkey", "p_brand")]
+    fields = [text(part, "name", "p_partkey", "p_name"), text(t(s, d, "documents"), "description", "doc_id", "text"), text(said, "comments", "conv_id", "text"), text(part, "tags", "p_partkey", "p_brand")]
     index = postings.TextIndex(reduce(DataFrame.unionByName, fields))
     packs = postings.by_mod(t(s, d, "lineitem"))
     of_mods = lambda mods: postings.ids(packs.join(mods.withColumnRenamed("id", "mod_id"), "mod_id", "left_semi").drop("mod_id")).distinct()
@@ -503,3 +503,25 @@ def q42(s, d):
     report.write_board(docs, path, "Documents", "doc_id", "lang")
     line = F.expr("substring(value, 5, length(value) - 6)")
     return s.read.text(f"{path}/data").select(F.from_json(line, docs.schema).alias("r")).select("r.*")
+
+
+@query("q29_history_compacted", f"SELECT user_id, day, CAST(v AS DOUBLE) AS value FROM ({_DAILY})")
+def q29_compacted(s, d):
+    """The history of q29_history, folded after each append."""
+    path = shared_path(s, "history")
+    days = trend.daily(t(s, d, "events")).select("user_id", "day", F.col("v").cast("double").alias("value"))
+    append_history(days.select("*", F.lit(1).alias("version")).withColumn("value", F.lit(0.0)), path, "day")
+    append_history(days.select("*", F.lit(2).alias("version")), path, "day")
+    compact_history(s, path, "user_id", "day")
+    return s.read.parquet(path).select("user_id", "day", "value")
+
+
+@query("q43_distinguishing_terms", """
+WITH w AS (SELECT conv_id AS pack_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM conversations),
+n AS (SELECT pack_id, term, CAST(count(*) AS DOUBLE) AS a FROM w GROUP BY 1, 2),
+x AS (SELECT pack_id, term, a, sum(a) OVER (PARTITION BY pack_id) AS c, sum(a) OVER (PARTITION BY term) AS t, sum(a) OVER () AS total FROM n),
+s AS (SELECT pack_id, term, CAST(a AS BIGINT) AS n,
+  round(2 * (a * ln(a * total / (c * t)) + CASE WHEN t > a THEN (t - a) * ln((t - a) * total / ((total - c) * t)) ELSE 0 END), 6) AS score FROM x WHERE a * total > c * t)
+SELECT pack_id, term, n, score, row_number() OVER (PARTITION BY pack_id ORDER BY score DESC, term) AS rank FROM s QUALIFY rank <= 5""")
+def q43(s, d):
+    return comments.distinguishing_terms(t(s, d, "conversations"), "conv_id", "text", 5)

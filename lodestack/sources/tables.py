@@ -74,3 +74,20 @@ def read_history(spark: SparkSession, path: str, key: str, day: str = "snap_date
     rest = [c for c in rows.columns if c not in (key, day)]
     newest = rows.groupBy(key, day).agg(F.max_by(F.struct(*rest), version).alias("r"))
     return newest.select(key, day, "r.*")
+
+
+def compact_history(spark: SparkSession, path: str, key: str, day: str = "snap_date", version: str = "version") -> int:
+    """Folds each day that has several files to one row per key, the newest, in few files; returns how many days were folded. Readers get the same rows before and after.
+
+    The folded days are written whole beside the history first; each then takes its day's place by Spark's overwrite of single partitions. A run that breaks off is done again; days
+    that were appended to while it ran must not be among those folded, so it runs between appends, as the refresh does."""
+    rows = spark.read.parquet(path)
+    files = rows.groupBy(day).agg(F.count_distinct("_metadata.file_path").alias("files")).where("files > 1").select(day)
+    days = [r[0] for r in files.collect()]  # a row per day at most
+    if not days:
+        return 0
+    rest = [c for c in rows.columns if c not in (key, day)]
+    newest = rows.where(F.col(day).isin(days)).groupBy(key, day).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, day, "r.*").select(rows.columns)
+    folded = kept(newest.repartition(day), "folded")
+    folded.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    return len(days)

@@ -56,3 +56,20 @@ def test_bundle_links_its_parts(spark, tmp_path):
     report.write_bundle(spark.createDataFrame([(i, "<x>") for i in range(10)], "id long, x string"), f"file://{tmp_path}/b", "T", "id", 3)
     found = [json.loads(line) for link in links_of((tmp_path / "b/index.html").read_text()) for line in (tmp_path / "b" / link).read_text().splitlines()]
     assert sorted(r["id"] for r in found) == list(range(10))
+
+
+def test_history_is_folded_between_appends(spark, tmp_path):
+    from lodestack.sources import tables
+
+    path, ddl = f"file://{tmp_path}/h", "k long, snap_date string, version long, x string"
+    files = lambda: len(list((tmp_path / "h").glob("snap_date=*/*.parquet")))
+    rows = lambda: sorted((r["k"], str(r["snap_date"]), r["x"]) for r in tables.read_history(spark, path, "k").collect())
+    for v in range(4):
+        tables.append_history(spark.createDataFrame([(k, f"2024-01-0{d}", v, f"{k}{d}{v}") for k in range(20) for d in range(1, 1 + v)], ddl), path)
+    before, many = rows(), files()
+    assert tables.compact_history(spark, path, "k") == 3 and rows() == before and files() < many and files() == 3
+    assert tables.compact_history(spark, path, "k") == 0
+    tables.append_history(spark.createDataFrame([(3, "2024-01-01", 9, "new")], ddl), path)
+    assert tables.compact_history(spark, path, "k") == 1 and files() == 3
+    assert rows() == sorted([r for r in before if r[:2] != (3, "2024-01-01")] + [(3, "2024-01-01", "new")])
+    assert spark.read.parquet(path).count() == len(before)  # older versions are gone
