@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 from lodestack.sources.shipping import ship
 
 _own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Only a local session without that setting (tests) gets a temporary folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
+    return _own[sc.applicationId]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; a local session without it gets a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestack-"))
-    return f"{base.rstrip('/')}/lodestack/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; it goes when the driver ends, or by ``remove``."""
+    if not _made:
+        atexit.register(_clean)
+    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone already
+            continue
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
