@@ -2,42 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.sources.shipping import ship  # noqa: F401  for the operators here
-
-_own_dirs: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests) gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = sc.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
-    return _own_dirs[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; it goes when the driver ends, or by ``discard``."""
-    if not _made:
-        atexit.register(_clean)
-    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
+from lodestack.sources.tables import remove
+from lodestack.sources.tables import shared_path as scratch
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -56,20 +25,6 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may be gone already
-            continue
-
-
 def parallelism(spark: SparkSession) -> int:
     """How many parts a shuffle gets where the number has to be named."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

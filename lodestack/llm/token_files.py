@@ -37,7 +37,8 @@ MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 
 
 class TokenFileWriter:
-    def __init__(self, out):
+    def __init__(self, out, file_ids: int | None = None, file_docs: int | None = None):
+        self._most = file_ids or FILE_IDS, file_docs or FILE_DOCS
         self._out, self._rest, self._words, self.n_ids = out, [], 0, 0
         self._waiting = 0
         self._offsets: list[np.ndarray] = []
@@ -46,7 +47,7 @@ class TokenFileWriter:
 
     @property
     def full(self) -> bool:
-        return self.n_ids + self._waiting >= FILE_IDS or len(self.doc_ids) >= FILE_DOCS
+        return self.n_ids + self._waiting >= self._most[0] or len(self.doc_ids) >= self._most[1]
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """Documents with a null id come before all others."""
@@ -103,8 +104,9 @@ def read_documents(f, size: int):
             held, have = [held[0][length:]], have - length
 
 
-def write(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """Writes the files and returns their table (part, file, path, n_docs, n_ids); ``path`` a byte-level vocabulary."""
+def write(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Writes the files and returns their table (part, file, path, n_docs, n_ids); ``path`` a byte-level vocabulary. A task begins another file behind the document with which one
+    has ``file_ids`` ids or ``file_docs`` documents."""
     spark = docs.sparkSession
     ship(spark)
     folder = located(spark, folder or scratch(spark, "token-files"))
@@ -128,7 +130,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", t
                         part = TaskContext.get().partitionId()
                         name = f"{folder}/part-{part:06d}-{file:06d}-{uuid.uuid4().hex}.s8b"
                         out = opened_for_writing(name)
-                        writer = TokenFileWriter(out)
+                        writer = TokenFileWriter(out, file_ids, file_docs)
                     writer.add(d, x + end)
                     if writer.full:
                         yield closed()
