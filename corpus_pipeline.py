@@ -2,6 +2,10 @@
 
 Toxic documents go; of equal texts the smallest id stays; of each group of near copies (five-word shingles, Jaccard
 0.8) the smallest id stays; secrets in the texts are masked (``n_chars`` follows); the rest is packed into sequences of 2048 tokens.
+
+Cases: null and empty texts are no toxic ones, and all but the first of them go as equal texts; documents with a null id are judged as others are, and stay where no copy with an id
+is there; rows alike in id and text count as copies; very long texts are read whole in each stage; further columns, those named as an operator's own too, are kept up to the
+last stage; an empty table gives an empty result; null ``n_chars``, ``lang`` and ``source`` are kept as they are.
 """
 
 from __future__ import annotations
