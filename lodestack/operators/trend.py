@@ -11,8 +11,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.sources.tables import kept
-
 MONEY = "decimal(18,2)"
 
 
@@ -65,11 +63,31 @@ def composite(measures: DataFrame, key: str, weights: dict[str, float]) -> DataF
     return ranked(scored, "score", key)
 
 
-def ranked(scored: DataFrame, by: str, key: str) -> DataFrame:
-    """Adds ``position`` = 1 + rows with a larger value, ties by key: ranges are sorted apart, and counts of the ranges before are added."""
-    # written once: two samplings of the ranges need not agree
-    parts = kept(scored.repartitionByRange(F.desc(by), key).withColumn("_part", F.spark_partition_id()), "ranges")
-    counts = parts.groupBy("_part").agg(F.count("*").alias("n"))
-    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(by), key)))
-    return inside.join(F.broadcast(before), "_part").select(*scored.columns, (F.col("before") + F.col("_r")).alias("position"))
+def _cuts(rows: DataFrame, columns: list[str], parts: int) -> dict[str, list[float]]:
+    """For each column the values that cut it into ``parts`` ranges of about as many rows, by one mergeable quantile sketch each."""
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    quantiles = lambda x: F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x), shares))
+    found = rows.agg(*[quantiles(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    return {c: sorted({x for x in found[c] or [] if x is not None}) for c in columns}
+
+
+def ranked(scored: DataFrame, by: str, key: str, parts: int | None = None) -> DataFrame:
+    """Adds ``position`` = 1 + rows with a larger value, ties by key; null values come last.
+
+    Quantile sketches cut the values, and the keys, into ranges of about equal size. Rows are counted by value and range of keys, the counts are summed up in order, range of
+    values by range, and each row finds its place among those of its value and range of keys: one shuffle of the rows, and a value that half of them have is still many groups.
+    Keys that are no numbers are one range. The sketches only deal rows out; positions are exact."""
+    parts = parts or max(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    numeric = scored.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+    cuts = _cuts(scored, [by, key] if numeric else [by], parts)
+    above = lambda c, keep: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]).cast("array<double>"), lambda x: keep(x, F.col(c).cast("double"))))
+    band = F.when(F.col(by).isNull(), len(cuts[by]) + 1).otherwise(above(by, lambda x, v: x > v))
+    rows = scored.select("*", band.alias("_band"), (F.coalesce(above(key, lambda x, v: x < v), F.lit(-1)) if numeric else F.lit(0)).alias("_range"))
+    counts = rows.groupBy("_band", F.col(by).alias("_by"), "_range").agg(F.count("*").alias("n"))
+    bands = counts.groupBy("_band").agg(F.sum("n").alias("n"))  # a row per range of values
+    before_band = bands.select("_band", F.coalesce(F.sum("n").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy("_band").orderBy(F.desc_nulls_last("_by"), "_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_i", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(before_band), "_band").select("_by", F.col("_range").alias("_of"), (F.col("_b") + F.col("_i")).alias("_before"))
+    placed = rows.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(key))
+    return placed.select(*scored.columns, (F.col("_before") + own).alias("position"))

@@ -100,3 +100,19 @@ def test_changes_over_gaps(spark):
     total = lambda n: sum(v for d, v in days.items() if d <= n)
     want = {(1, n): tuple(total(n) - total(n - p) if n - p >= 0 else None for p in (7, 30)) for n in days} | {(2, 3): (None, None)}
     assert got == want
+
+
+def test_positions_where_half_of_the_rows_tie(spark):
+    r = random.Random(9)
+    rows = [(i, 5.0 if i % 2 else r.choice([None, r.random() * 10, 3.0, -1.5])) for i in range(3000)]
+    r.shuffle(rows)
+    order = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    want = {i: n for n, (i, _) in enumerate(order, 1)}
+    df = spark.createDataFrame(rows, "k long, x double")
+    for parts in (2, 16):
+        assert {x["k"]: x["position"] for x in trend.ranked(df, "x", "k", parts).collect()} == want
+    named = df.withColumn("k", F.format_string("%06d", "k"))
+    assert {int(x["k"]): x["position"] for x in trend.ranked(named, "x", "k").collect()} == want
+    assert trend.ranked(df.limit(0), "x", "k").count() == 0
+    same = trend.ranked(df.withColumn("x", F.lit(1.0)), "x", "k", 8)
+    assert {x["k"]: x["position"] for x in same.collect()} == {i: i + 1 for i in range(3000)}
