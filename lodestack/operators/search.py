@@ -35,7 +35,15 @@ def packs_with_all(lineitem: DataFrame, part: DataFrame, column: str, values: li
     return counted.where(F.col("n") == len(values)).select("pack_id")
 
 
-def any_field(hits: dict[str, DataFrame]) -> DataFrame:
-    """(pack_id, fields): the union of hits by field, and which fields hit."""
-    each = [df.select("pack_id", F.lit(name).alias("field")) for name, df in hits.items()]
+def packs_by_field(lineitem: DataFrame, part: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """(pack_id, field): packs with a component that meets the field's condition; components and bridge are read once for all fields."""
+    met = F.filter(F.array(*[F.when(c, F.lit(field)) for field, c in conditions.items()]), lambda x: x.isNotNull())
+    chosen = part.select(F.col("p_partkey").alias("l_partkey"), met.alias("met")).where(F.size("met") > 0)
+    pairs = lineitem.select("l_orderkey", "l_partkey").join(chosen, "l_partkey")
+    return pairs.select(F.col("l_orderkey").alias("pack_id"), F.explode("met").alias("field")).distinct()
+
+
+def any_field(hits: dict[str, DataFrame], *by_field: DataFrame) -> DataFrame:
+    """(pack_id, fields): the union of hits by field and of tables (pack_id, field), and which fields hit."""
+    each = [df.select("pack_id", F.lit(name).alias("field")) for name, df in hits.items()] + [df.select("pack_id", "field") for df in by_field]
     return reduce(DataFrame.unionByName, each).groupBy("pack_id").agg(F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"))

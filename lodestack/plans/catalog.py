@@ -101,8 +101,8 @@ SELECT pack_id, string_agg(field, ',' ORDER BY field) AS fields FROM hits GROUP
 def q10(s, d):
     l, p = t(s, d, "lineitem"), t(s, d, "part")
     category = t(s, d, "orders").where(search.matches(F.col("o_orderpriority"), "medium")).select(F.col("o_orderkey").alias("pack_id"))
-    by = lambda c: search.packs_with(l, p, search.matches(F.col(c), "medium"))
-    return search.any_field({"category": category, "mods": by("p_name"), "tags": by("p_brand"), "types": by("p_type")})
+    of_parts = {field: search.matches(F.col(c), "medium") for field, c in (("mods", "p_name"), ("tags", "p_brand"), ("types", "p_type"))}
+    return search.any_field({"category": category}, search.packs_by_field(l, p, of_parts))
 
 
 @query("q10_search_five_fields", """
@@ -120,8 +120,8 @@ def q10_five(s, d):
     name = t(s, d, "orders").select(F.col("o_orderkey").alias("pack_id"), "o_custkey").join(named, "o_custkey", "left_semi")
     described = t(s, d, "documents").where(has("text")).select(F.col("doc_id").alias("pack_id"))
     comments = t(s, d, "conversations").where(has("text")).select(F.col("conv_id").alias("pack_id"))
-    by = lambda c: search.packs_with(l, p, has(c))
-    return search.any_field({"name": name, "description": described, "comments": comments, "tags": by("p_brand"), "mods": by("p_name")})
+    of_parts = search.packs_by_field(l, p, {"tags": has("p_brand"), "mods": has("p_name")})
+    return search.any_field({"name": name, "description": described, "comments": comments}, of_parts)
 
 
 @query("q11_filter_category", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
