@@ -1,7 +1,7 @@
 """Feedback requests: routing, validation, daily limits, forwarding and mail rows.
 
 Order of checks: OPTIONS, other methods, the daily limit, the JSON, the content. Only valid requests count towards the limit, so a request is
-limited exactly if as many valid ones as the limit stand before it in its (ip, UTC day) bucket: one window.
+limited exactly if as many valid ones as the limit stand before it in its (ip, UTC day) bucket.
 """
 
 from __future__ import annotations
@@ -34,11 +34,18 @@ def route(requests: DataFrame) -> DataFrame:
 
 
 def limited(requests: DataFrame, daily: int = DAILY) -> DataFrame:
-    """Adds ``status``: 405, 429, 400 or 200."""
-    counts = F.col("routed").isNull() & F.col("valid")
-    before = Window.partitionBy("client", F.to_date("ts")).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.sum(counts.cast("int")).over(before), F.lit(0))
-    return route(requests).withColumn("status", F.coalesce("routed", F.when(prior >= daily, 429).when(~F.col("valid"), 400).otherwise(200)))
+    """Adds ``status``: 405, 429, 400 or 200.
+
+    What stands behind the last request that a client's day accepts is limited. That request is one row per client and day, found by a rank that tasks cut at
+    ``daily`` before the shuffle, so a client with a third of all requests is no large group; the requests themselves only look it up."""
+    routed = route(requests)
+    day, moment = F.to_date("ts"), F.struct("ts", "id")
+    counted = routed.where(F.col("routed").isNull() & F.col("valid")).select("client", day.alias("_day"), "ts", "id")
+    rank = F.row_number().over(Window.partitionBy("client", "_day").orderBy("ts", "id"))
+    last = counted.withColumn("_rank", rank).where(F.col("_rank") == daily).select(F.col("client").alias("_client"), "_day", moment.alias("_last"))
+    met = routed.join(last, (F.col("client") == F.col("_client")) & day.eqNullSafe(F.col("_day")), "left")
+    full = F.coalesce(moment > F.col("_last"), F.lit(False)) if daily > 0 else F.lit(True)
+    return met.withColumn("status", F.coalesce("routed", F.when(full, 429).when(~F.col("valid"), 400).otherwise(200))).drop("_client", "_day", "_last")
 
 
 def validated(bodies: DataFrame, body: str = "body") -> DataFrame:

@@ -103,6 +103,15 @@ def test_limit_is_sequential(spark):
     assert got == want
 
 
+def test_the_limits_rank_is_cut_before_the_shuffle(spark):
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, i // 60, i % 60), None, "POST", True) for i in range(300)]
+    df = feedback.limited(spark.createDataFrame(rows, "id long, ts timestamp, ip string, method string, valid boolean"))
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in df.where("status = 200").collect()) == list(range(10))
+    none = feedback.limited(spark.createDataFrame(rows[:3], "id long, ts timestamp, ip string, method string, valid boolean"), 0)
+    assert {r["status"] for r in none.collect()} == {429}
+
+
 def test_web_functions(spark):
     df = spark.createDataFrame([("😀",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(web.utf16_length(F.col("s"))).collect()] == [2, 0, None]
