@@ -46,8 +46,8 @@ def bucketed(items: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def write_parts(items: DataFrame, path: str) -> None:
-    """A folder per bucket under ``path``."""
-    items.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+    """A folder per bucket under ``path``; a large bucket is several files, by Spark's advisory size of a partition."""
+    items.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def manifest(items: DataFrame) -> DataFrame:
@@ -65,16 +65,15 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 def write_bundle(items: DataFrame, path: str, title: str, key: str, buckets: int) -> DataFrame:
     """Writes data parts by bucket under ``path``/data and, behind them, ``path``/index.html, which links their files by relative paths; returns the manifest.
 
-    The page is bounded by the number of buckets; no row passes the driver."""
+    The page is bounded by the number of files; no row passes the driver."""
     spark = items.sparkSession
-    shape = bucketed(items, key, buckets)
-    write_parts(shape, f"{path}/data")
-    files = spark.read.schema(StructType(list(items.schema)).add("bucket", "long")).json(f"{path}/data").groupBy("bucket", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
-    rows = files.groupBy("bucket").agg(F.sum("n").alias("rows"), F.min("file").alias("file"))
-    parts = rows.select(F.concat(F.lit("data/bucket="), F.col("bucket").cast("string")).alias("part"), "rows", "file").cache()
-    linked = parts.select("part", "rows", F.concat_ws("/", "part", "file").alias("link"))
-    _put(spark, f"{path}/index.html", page(title, linked.orderBy("part"), buckets, link="link"))
-    return parts.drop("file")
+    write_parts(bucketed(items, key, buckets), f"{path}/data")
+    back = spark.read.schema(StructType(list(items.schema)).add("bucket", "long")).json(f"{path}/data")
+    part = F.concat(F.lit("data/bucket="), F.col("bucket").cast("string")).alias("part")
+    files = back.groupBy("bucket", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows")).select(part, "file", "rows").cache()
+    linked = files.select("part", "rows", F.concat_ws("/", "part", "file").alias("link")).orderBy("part", "link")
+    _put(spark, f"{path}/index.html", page(title, linked, max(buckets, files.count()), link="link"))
+    return files.groupBy("part").agg(F.sum("rows").alias("rows"))
 
 
 def write_board(items: DataFrame, path: str, title: str, key: str, term: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
