@@ -21,4 +21,4 @@ def distinguishing_terms(comments: DataFrame, pack: str, text: str, most: int) -
     scored = n.join(packs, "pack_id").join(terms, "term").join(F.broadcast(every)).where(a * total > c * t)
     scored = scored.select("pack_id", "term", a.cast("long").alias("n"), F.round(2 * (inside + outside), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("pack_id").orderBy(F.desc("score"), "term"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("long"))
