@@ -39,9 +39,43 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("q01_page_extract")
+#: The pages' character references are these four, their links all begin at the host's root, and their comments and scripts end.
+_SEEN = r"""regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(script|style)[^<>]*>.*?</(script|style)>', '<!>', 'g')"""
+_LINK = r"""<a\s[^<>]*href="([^"]*)"[^<>]*>([^<>]*)"""
+
+
+def _decoded(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(
+    "q01_page_extract",
+    rf"""WITH seen AS (SELECT page_id, url, {_SEEN} AS h FROM pages),
+    runs AS (SELECT page_id, sum(length(trim({_decoded("run")}, ' ' || chr(9) || chr(10) || chr(12) || chr(13)))) AS n
+        FROM (SELECT page_id, unnest(regexp_split_to_array(regexp_replace(h, '(?is)<title>.*?</title>', '<!>', 'g'), '<[A-Za-z/!?][^<>]*>')) AS run FROM seen) GROUP BY page_id)
+    SELECT page_id, url, nullif({_decoded("regexp_extract(h, '(?is)<title>(.*?)</title>', 1)")}, '') AS title, nullif({_decoded("trim(regexp_replace(regexp_extract(h, '(?is)<h1>(.*?)</h1>', 1), '<[A-Za-z/!?][^<>]*>', '', 'g'))")}, '') AS heading,
+    nullif(regexp_extract(h, '<html lang="([a-z]+)"', 1), '') AS page_lang, CAST(len(regexp_extract_all(h, '{_LINK}')) AS INT) AS n_links, CAST(n AS INT) AS text_length FROM seen JOIN runs USING (page_id)""",
+)
 def q01(s: SparkSession, d: str) -> DataFrame:
-    return pages.extract(t(s, d, "pages"))
+    return pages.extract(t(s, d, "pages"), fields=("title", "heading", "page_lang", "n_links", "text_length"))
+
+
+_LINKS = rf"""SELECT page_id, url, CAST(i - 1 AS INT) AS position, {_decoded(f"regexp_extract(a, '{_LINK}', 1)")} AS href, {_decoded(f"regexp_extract(a, '{_LINK}', 2)")} AS anchor
+    FROM (SELECT page_id, url, unnest(found) AS a, generate_subscripts(found, 1) AS i FROM (SELECT page_id, url, regexp_extract_all({_SEEN}, '{_LINK}') AS found FROM pages))"""
+
+
+@query("q01_page_links", f"SELECT page_id, url, position, href, nullif(trim(anchor), '') AS anchor, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS target FROM ({_LINKS})")
+def q01_links(s, d):
+    return pages.links(t(s, d, "pages"))
+
+
+@query(
+    "q01_page_frontier",
+    f"""SELECT target, count(DISTINCT page_id) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS target FROM ({_LINKS})) AS found
+    WHERE NOT EXISTS (SELECT 1 FROM pages WHERE regexp_replace(pages.url, '#.*$', '') = found.target) GROUP BY target""",
+)
+def q01_frontier(s, d):
+    return pages.frontier(t(s, d, "pages"), "page_id")
 
 
 @query("q02_stale_items", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAY")

@@ -9,7 +9,7 @@ import pytest
 from lodestack.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
-ROWS_ONLY = {"q01_page_extract"}
+ROWS_ONLY: set = set()
 
 
 @pytest.fixture(scope="module")
