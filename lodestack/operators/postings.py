@@ -13,22 +13,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.sources.tables import shared_path
+from lodestack.functions import lists as made
+from lodestack.sources.shipping import ship
+from lodestack.sources.tables import kept, shared_path
 
 WIDTH, FOLDER = 4096, 1 << 20
 
 
 def build(pairs: DataFrame, terms: list[str], name: str, width: int = WIDTH) -> DataFrame:
     """The written postings (*terms, block, first, last, n, ids) of rows (*terms, id); repeated pairs count once, null ids and terms are left out."""
+    ship(pairs.sparkSession)
     held = pairs.dropna(subset=[*terms, "id"])
     block = F.floor(F.col("id") / width)
-    lists = held.groupBy(*terms, block.alias("block")).agg(F.array_sort(F.collect_set((F.col("id") - block * width).cast("int"))).alias("ids"))
+    # dealt once, by ranges: a task has all pairs of its lists, and writes them in order
+    pair = held.select(*terms, block.alias("block"), (F.col("id") - block * width).cast("int").alias("id"))
+    lists = pair.select(*terms, "block", F.array("id").alias("ids")).schema
+    return _written(_dealt(pair, terms, "id").mapInArrow(made.of_pairs, lists), terms, name, width)
+
+
+def _dealt(rows: DataFrame, terms: list[str], *more: str) -> DataFrame:
+    return rows.repartitionByRange(*terms, "block").sortWithinPartitions(*terms, "block", *more)
+
+
+def _written(lists: DataFrame, terms: list[str], name: str, width: int) -> DataFrame:
+    """The table of sorted lists (*terms, block, ids)."""
     at = F.col("block") * width
     table = lists.select(*terms, "block", (at + F.get("ids", F.lit(0))).alias("first"), (at + F.get("ids", F.size("ids") - 1)).alias("last"), F.size("ids").alias("n"), "ids")
-    path = shared_path(pairs.sparkSession, name)
-    ordered = table.repartitionByRange(*terms, "block").sortWithinPartitions(*terms, "block")
-    ordered.write.option("parquet.writer.version", "PARQUET_2_0").parquet(path)
-    return pairs.sparkSession.read.schema(table.schema).parquet(path)
+    path = shared_path(lists.sparkSession, name)
+    table.write.option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+    return lists.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def ids(lists: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -72,21 +85,25 @@ class TextIndex:
     """Substring search, case ignored, by posting lists of three characters in a row.
 
     A text's grams are all its runs of three characters in lower case; a shorter text is a gram itself. A needle of three characters or more is in a text only if all the needle's
-    grams are: these ids are candidates, which the text itself confirms. For a shorter needle the grams that hold it are looked up, and their ids are the answer."""
+    grams are: these ids are candidates, which the text itself confirms. For a shorter needle the grams that hold it are looked up, and their ids are the answer.
+
+    Tasks make the lists of the texts that they read, so a gram may have several lists of a block, as many as tasks or runs of texts that share the block."""
 
     def __init__(self, texts: DataFrame, width: int = WIDTH, folder: int = FOLDER):
         """``texts``: (field, id, text), an id may have several; null texts are found by no needle. ``folder``: how many ids share a folder of the kept texts."""
         self._width, self._folder = width, folder
+        ship(texts.sparkSession)
         low = texts.dropna().select("field", "id", F.lower("text").alias("text"))
-        chars = low.select("field", "id", F.filter(F.split("text", ""), lambda c: c != "").alias("c"))
-        three = F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
-        grams = chars.select("field", "id", F.explode(F.array_distinct(F.when(F.size("c") >= 3, three).otherwise(F.array(F.array_join("c", ""))))).alias("gram"))
-        self.postings = build(grams, ["field", "gram"], "postings-grams", width)
         path = shared_path(texts.sparkSession, "indexed-texts")
-        kept = low.withColumn("folder", F.floor(F.col("id") / folder))
-        kept.repartitionByRange("field", "folder", "id").write.partitionBy("field", "folder").parquet(path)
-        schema = kept.select("id", "text", "field", "folder").schema
+        held = low.withColumn("folder", F.floor(F.col("id") / folder))
+        # by the text too, so that the texts of one id may be dealt over several tasks; in order of their ids, so that a task's grams meet in few blocks
+        dealt = held.repartitionByRange("field", "folder", "id", F.xxhash64("text")).sortWithinPartitions("field", "folder", "id")
+        dealt.write.partitionBy("field", "folder").parquet(path)
+        schema = held.select("id", "text", "field", "folder").schema
         self.texts = texts.sparkSession.read.schema(schema).parquet(path)
+        grams = self.texts.select("field", F.col("id").cast("long"), "text").mapInArrow(lambda batches: made.of_grams(batches, width), made.GRAM_LISTS)
+        # kept, since ranges are told by a first look at the rows
+        self.postings = _written(_dealt(kept(grams, "grams"), ["field", "gram"]), ["field", "gram"], "postings-grams", width)
 
     def candidates(self, field: str, needle: str) -> DataFrame:
         """(id): the ids that may have the needle; for needles under three characters, those that do."""

@@ -116,3 +116,66 @@ def test_positions_where_half_of_the_rows_tie(spark):
     assert trend.ranked(df.limit(0), "x", "k").count() == 0
     same = trend.ranked(df.withColumn("x", F.lit(1.0)), "x", "k", 8)
     assert {x["k"]: x["position"] for x in same.collect()} == {i: i + 1 for i in range(3000)}
+
+
+def test_lists_go_over_batches():
+    import pyarrow as pa
+
+    from lodestack.functions import lists
+
+    r = random.Random(4)
+    rows = sorted({(r.choice("abc"), r.randrange(3), r.randrange(64)) for _ in range(300)} | {("hot", 0, i) for i in range(64)})
+    rows = sorted([*rows, *rows[::5]])
+    want = {}
+    for term, block, i in rows:
+        want.setdefault((term, block), []).append(i) if i not in want.get((term, block), []) else None
+    table = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int32())], ["term", "block", "id"])
+    for size in (1, 2, 7, 50, 1000):
+        out = [x for b in lists.of_pairs([table.slice(i, size) for i in range(0, len(table), size)] + [table.slice(0, 0)]) for x in b.to_pylist()]
+        assert [((x["term"], x["block"]), x["ids"]) for x in out] == list(want.items()), size
+    assert list(lists.of_pairs([])) == []
+
+
+def test_grams_of_many_texts_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestack.functions import lists
+
+    r = random.Random(5)
+    many = "".join(map(chr, range(0xE000, 0x110000)))  # with others too many different characters for one key, so taken in halves
+    texts = ["", "a", "ab", "abc", "a\0b", "\0", "😀é😀é", "abab" * 9, *("".join(r.choice("ab\0é") for _ in range(r.randrange(9))) for _ in range(60))]
+    ids = [r.randrange(-20, 20) for _ in texts]
+    want = {}
+    for i, t in zip(ids, texts):
+        for g in {t[k : k + 3] for k in range(len(t) - 2)} or {t}:
+            want.setdefault((g, i // 8), set()).add(i % 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(ids)), pa.array(ids, pa.int64()), pa.array(texts)], ["field", "id", "text"])
+    for batches in ([batch], [batch.slice(i, 3) for i in range(0, len(batch), 3)]):
+        for together in (1, 50, 1 << 22):
+            got = {}
+            for b in lists.of_grams(batches, 8, together):
+                for x in b.to_pylist():
+                    assert x["field"] == "f" and x["ids"] == sorted(set(x["ids"]))
+                    got.setdefault((x["gram"], x["block"]), set()).update(x["ids"])
+            assert got == want
+    assert len(list(lists.of_texts(np.array([1, 2]), ["abc", "abd"], 8))) == 1
+    halves = list(lists.of_texts(np.array([1, 2]), [many, "abc" + many[:2]], 8))
+    assert [len(b) for b in halves] == [len(many) - 2, 3]
+
+
+def test_rows_are_dealt_once(spark):
+    """Posting lists are made where their pairs were dealt to, with neither a second exchange nor Spark's sets, which took most of the time of an index."""
+    import re
+
+    held, plans = spark.createDataFrame(pairs_of(), PAIRS), []
+    real = postings._written
+    postings._written = lambda lists, *rest: plans.append(lists._jdf.queryExecution().executedPlan().toString()) or real(lists, *rest)
+    try:
+        postings.build(held, ["term"], "p", 64)
+        postings.TextIndex(spark.createDataFrame([("f", 1, "abc"), ("f", 2, "xabc")], "field string, id long, text string"), 64)
+    finally:
+        postings._written = real
+    assert len(plans) == 2
+    for plan in plans:
+        assert len(re.findall(r"Exchange rangepartitioning", plan)) == 1 == plan.count("Exchange ") and "Aggregate" not in plan
