@@ -60,9 +60,16 @@ def spaced_words(lower: str) -> list[str]:
 
 def joined_words(lower: str, tokens: list[str]) -> list[str]:
     """Runs of single characters and words with stops inside; ``tokens`` are the text's words with stops as spaces."""
-    out = _STOPPED.findall(lower) if _INSIDE.search(lower) else []
-    if sum(map((1).__eq__, map(len, tokens))) > 2:
-        out += spaced_words(" ".join(tokens))
+    out: list[str] = []
+    if _INSIDE.search(lower):  # word by word, as the pattern takes time in the square of a run without stops
+        for w in lower.split():
+            if ("." in w or "!" in w or "?" in w) and _INSIDE.search(w):
+                out += _STOPPED.findall(w)
+    lengths = list(map(len, tokens))
+    if lengths.count(1) > 2:
+        at = [i for i, n in enumerate(lengths) if n == 1]
+        if any(b - a == 2 for a, b in zip(at, at[2:])):
+            out += spaced_words(" ".join(tokens))
     return out
 
 
@@ -70,14 +77,17 @@ def letters_of(word: str) -> str:
     return _BEGIN + (word if word.isalnum() else "".join(filter(str.isalnum, word)))
 
 
-def pairs(letters: str) -> set[tuple[str, str]]:
-    """Ordered pairs of characters with at most two others between them."""
-    return {*zip(letters, letters[1:]), *zip(letters, letters[2:]), *zip(letters, letters[3:])}
+def _padded(words: list[str], n: int) -> np.ndarray:
+    """The characters of words of at most ``n``, and zeros behind them."""
+    return np.array(words, f"<U{n}").view(np.int32).reshape(len(words), n)
 
 
-def _codes(words: tuple[str, ...]) -> np.ndarray:
-    """The characters of words of one length."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), "<i4").reshape(len(words), -1)
+def _by_length(words: list[str]) -> dict[int, list[int]]:
+    """The places of words whose lengths are alike; the key is their room."""
+    out: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        out.setdefault(len(w) + 3 & ~3, []).append(i)
+    return out
 
 
 def _spread(n: int) -> np.ndarray:
@@ -101,12 +111,10 @@ def raw_kernels(codes: np.ndarray, decays: np.ndarray, other: np.ndarray) -> np.
 
 def self_kernels(words: list[str]) -> np.ndarray:
     """The kernel of each word's letters with themselves."""
-    out, by_length = np.zeros(len(words)), {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for at in by_length.values():
-        codes = _codes(tuple(words[i] for i in at))
-        out[at] = raw_kernels(codes, np.full(codes.shape, DECAY), codes)
+    out = np.zeros(len(words))
+    for n, at in _by_length(words).items():
+        codes = _padded([words[i] for i in at], n)
+        out[at] = raw_kernels(np.where(codes, codes, -2), np.full(codes.shape, DECAY), np.where(codes, codes, -1))
     return out
 
 
@@ -120,12 +128,20 @@ class WordKernel:
         self._codes = np.full((len(landmarks), m), -1, np.int32)
         for i, w in enumerate(letters):
             self._codes[i, : len(w)] = [ord(c) for c in w]
-        #: Adjacent characters of landmarks; a similar word has some of them, with others between them at most.
-        #: As bits: which landmarks have the pair.
-        self._having: dict[tuple[str, str], int] = {}
+        #: Adjacent characters of landmarks; a similar word has some of them, with others between them at most. Characters by small numbers (0: in no landmark), pairs
+        #: by theirs (0: none), and the landmarks of each pair in a row, with the bounds of their runs.
+        of_pair: dict[tuple[str, str], list[int]] = {}
         for i, w in enumerate(letters):
-            for p in set(zip(w, w[1:])):
-                self._having[p] = self._having.get(p, 0) | 1 << i
+            for p in sorted(set(zip(w, w[1:]))):
+                of_pair.setdefault(p, []).append(i)
+        some = {c: k for k, c in enumerate(sorted(set("".join(letters))), 1)}
+        self._char = np.zeros(0x110000, np.int32)
+        self._char[[ord(c) for c in some]] = list(some.values())
+        self._pair = np.zeros((len(some) + 1, len(some) + 1), np.int64)
+        for k, (x, y) in enumerate(of_pair, 1):
+            self._pair[some[x], some[y]] = k
+        self._run = np.cumsum([0, 0, *map(len, of_pair.values())])
+        self._having = np.array([i for at in of_pair.values() for i in at], np.int64)
         self._own = self_kernels(letters)
         self._seen: set[str] = set()
         self._similar: dict[str, np.ndarray] = {}
@@ -136,39 +152,63 @@ class WordKernel:
 
         With ``sieve``, a pair is worked out if at least two of the landmark's pairs of adjacent letters stand in the word in order; others lie
         below the cut. A long word is as similar as its most similar window."""
-        by_length: dict[int, list[tuple[int, str, str, int]]] = {}
-        having = self._having.keys()
-        for i, w in enumerate(words):
-            for k in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2) if len(w) > LONGEST else (0,):
-                part = w[k : k + LONGEST]
-                letters = letters_of(part)
-                if len(letters) < ORDER:
-                    continue
-                once_met, twice_met = 0, (0 if sieve else (1 << len(self.landmarks)) - 1)
-                for p in pairs(letters) & having if sieve else ():
-                    twice_met |= once_met & self._having[p]
-                    once_met |= self._having[p]
-                while twice_met:
-                    low = twice_met & -twice_met
-                    by_length.setdefault(len(part), []).append((i, part, letters, low.bit_length() - 1))
-                    twice_met ^= low
+        at, parts = list(range(len(words))), words
+        if max(map(len, words), default=0) > LONGEST:
+            windows = [(i, w[k : k + LONGEST]) for i, w in enumerate(words) for k in (range(0, len(w) - LONGEST // 2, LONGEST // 2) if len(w) > LONGEST else (0,))]
+            at, parts = [i for i, _ in windows], [w for _, w in windows]
+        letters = list(map(letters_of, parts))
+        fit = [k for k, w in enumerate(letters) if len(w) >= ORDER]
+        at, parts, letters = [at[k] for k in fit], [parts[k] for k in fit], [letters[k] for k in fit]
+        if not at:
+            return {}
+        if sieve:
+            part, to = self._sieved(letters)
+        else:
+            part, to = np.repeat(np.arange(len(at)), len(self.landmarks)), np.tile(np.arange(len(self.landmarks)), len(at))
+        begins = np.append(True, part[1:] != part[:-1])[: len(part)]
+        asked, row = part[begins].tolist(), np.cumsum(begins) - 1
+        parts, letters, at = [parts[k] for k in asked], [letters[k] for k in asked], [at[k] for k in asked]
+        different = {w: n for n, w in enumerate(dict.fromkeys(letters))}
+        own = self_kernels(list(different))[[different[w] for w in letters]] if letters else np.zeros(0)
+        first = np.searchsorted(row, np.arange(len(at) + 1))  # both ways give a word's landmarks in a row
         out: dict[int, np.ndarray] = {}
-        for rows in by_length.values():
+        for n, some in _by_length([_BEGIN + w for w in parts]).items():
+            codes = _padded([_BEGIN + parts[k] for k in some], n)
+            met = sorted(set("".join(parts[k] for k in some)))
+            known = np.zeros(0x110000, bool)
+            known[[ord(c) for c in (_BEGIN, *met) if c == _BEGIN or c.isalnum()]] = True
+            solid = known[codes]
+            codes, decays = np.where(solid, codes, -2), np.where(solid, DECAY, LOOSE)
+            each = first[np.array(some) + 1] - first[some]
+            rows = np.arange(each.sum()) + np.repeat(first[some] - np.cumsum(each) + each, each)
+            of = np.repeat(np.arange(len(some)), each)
             for k in range(0, len(rows), 4096):
-                at, some, letters, to = zip(*rows[k : k + 4096])
-                to = np.array(to)
-                different = {w: n for n, w in enumerate(dict.fromkeys(letters))}
-                own = self_kernels(list(different))[[different[w] for w in letters]]
-                codes = _codes(tuple(_BEGIN + w for w in some))
-                met, at_met = np.unique(codes, return_inverse=True)
-                solid = np.array([c == _BEGIN or c.isalnum() for c in map(chr, met)])[at_met].reshape(codes.shape)
-                codes = np.where(solid, codes, -2)
-                s = raw_kernels(codes, np.where(solid, DECAY, LOOSE), self._codes[to]) / np.sqrt(np.maximum(own * self._own[to], 1e-12))
-                for r in np.flatnonzero(s >= CUT):
-                    f = out.setdefault(at[r], np.zeros(len(self.landmarks), np.float32))
-                    f[to[r]] = max(f[to[r]], s[r])
+                mine, r = of[k : k + 4096], rows[k : k + 4096]
+                s = raw_kernels(codes[mine], decays[mine], self._codes[to[r]]) / np.sqrt(np.maximum(own[row[r]] * self._own[to[r]], 1e-12))
+                for x in np.flatnonzero(s >= CUT):
+                    f = out.setdefault(at[row[r[x]]], np.zeros(len(self.landmarks), np.float32))
+                    f[to[r[x]]] = max(f[to[r[x]]], s[x])
         return out
 
+    def _sieved(self, letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words, by their place in ``letters``, and landmarks of which at least two different pairs stand in the word with at most two others between."""
+        codes = np.frombuffer("".join(letters).encode("utf-32-le"), "<u4")
+        word = np.repeat(np.arange(len(letters)), list(map(len, letters)))
+        c = np.zeros(len(codes) + 3 * len(letters), np.int32)  # three empty places behind each word
+        place = np.arange(len(codes)) + 3 * word
+        c[place] = self._char[codes]
+        keys = []
+        for gap in (1, 2, 3):
+            pair = self._pair[c[place], c[np.minimum(place + gap, len(c) - 1)]]
+            held = np.flatnonzero(pair)
+            keys.append(word[held] * len(self._run) + pair[held])
+        keys = np.sort(np.concatenate(keys))
+        has, pair = np.divmod(keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]], len(self._run))
+        n = self._run[pair + 1] - self._run[pair]
+        of = np.arange(n.sum()) + np.repeat(self._run[pair] - np.cumsum(n) + n, n)
+        both, times = np.unique(np.repeat(has, n) * len(self.landmarks) + self._having[of], return_counts=True)
+        return np.divmod(both[times > 1], len(self.landmarks))
+
     def near_words(self, words_of: list[set[str]]) -> list[dict[str, np.ndarray]]:
         """For each set of words those that are similar to a landmark, with their similarities."""
         missing = set().union(*words_of).difference(self._seen)
@@ -217,20 +257,31 @@ class ToxicityModel:
         similar words' margins above the bias, and its number of distinct words; the latter two as logarithms."""
         kernel = _kernel(self.landmarks)
         lower = [(t or "").lower() for t in texts]
-        tokens = [t.replace(".", " ").replace("!", " ").replace("?", " ").split() for t in lower]
+        # a stop or line end alone as a word between sentences
+        marked = [t.replace(".", " . ").replace("!", " . ").replace("?", " . ").replace("\n", " . ").split() for t in lower]
+        tokens = [[w for w in m if w != "."] for m in marked]
         words, joined = [set(t) for t in tokens], [set(joined_words(t, w)) for t, w in zip(lower, tokens)]
         out = np.zeros((len(texts), 3))
         out[:, 0] = self.bias
-        for i, (near, more) in enumerate(zip(kernel.near_words(words), kernel.near_words(joined))):
+        similar = kernel.near_words(words + joined)
+        for i, (near, more) in enumerate(zip(similar, similar[len(texts) :])):
             out[i, 2] = np.log1p(len(words[i]))
             if near or more:
-                found = list(more.values())
-                for s in _SENTENCE.split(lower[i]) if near else ():
-                    if rows := [near[w] for w in near.keys() & s.split()]:
-                        found.append(np.max(rows, axis=0))
-                each = np.stack([*near.values(), *more.values()]) @ self.weights
-                out[i, 0] = max(self.bias, float((np.stack(found) @ self.weights).max()) + self.bias if found else self.bias)
-                out[i, 1] = np.log1p(np.maximum(each, 0).sum())
+                rows = np.stack([*near.values(), *more.values()])
+                at, at_word, starts, fresh = {w: k for k, w in enumerate(near)}, [], [], True
+                for w in marked[i] if near else ():
+                    if w == ".":
+                        fresh = True
+                    elif w in at:
+                        if fresh:
+                            starts.append(len(at_word))
+                            fresh = False
+                        at_word.append(at[w])
+                found = rows[len(near) :]
+                if starts:
+                    found = np.concatenate([found, np.maximum.reduceat(rows[at_word], starts)])
+                out[i, 0] = max(self.bias, float((found @ self.weights).max()) + self.bias)
+                out[i, 1] = np.log1p(np.maximum(rows @ self.weights, 0).sum())
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:

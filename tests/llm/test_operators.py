@@ -602,3 +602,15 @@ def test_pipeline_on_odd_documents(spark, odd):
     packed = corpus_pipeline.pack(spark, now, SF)
     used = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert max(r["n"] for r in used) <= 2048 and {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in rows}
+
+
+def test_stops_inside_words_are_found_in_time_of_the_text():
+    import time
+
+    from lodestack.llm import toxicity
+
+    began = time.time()
+    assert toxicity.joined_words("a" * 200_000 + " x.y! z", []) == ["x.y"]  # a long run without stops took time in its square
+    assert time.time() - began < 5
+    assert toxicity.joined_words("a.b..c!? d ?e! .f", []) == ["a.b..c"]
+    assert toxicity.joined_words("x", "a b cd e f g hi j".split()) == ["efg"]
